@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.groups import consolidate
 from tallyloom.llm.pack import CAPACITY, fill_containers
+from tallyloom.llm.reading import DEMANDING, reading_levels
 from tallyloom.session import keep
 from tallyloom.sources.tables import table
 
@@ -38,7 +39,27 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_levels(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "reading_labels", "doc_id", "grade"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_levels(spark, sf).filter(F.col("level") >= DEMANDING).select("doc_id")
+
+
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus by language (as written, folded to two letters and script), source and kind."""
+    d = table(spark, sf, "documents", "doc_id", "lang", "source", "doc_kind")
+    code = F.lower("lang")
+    lang = F.when(code.isin("en", "eng"), "en").when(code.isin("hi", "hin"), "hi").otherwise(code)
+    x = d.join(p9_levels(spark, sf), "doc_id").groupBy(lang.alias("lang"), "source", "doc_kind")
+    return x.agg(
+        F.count("*").alias("documents"), F.count("level").alias("rated"), F.round(F.avg("level"), 4).alias("mean_level"),
+        F.count_if(F.col("level") >= DEMANDING).alias("demanding"), F.sum("words").alias("words"),
+    )
+
+
+QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
