@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.groups import consolidate
 from tallyloom.llm.pack import CAPACITY, fill_containers
+from tallyloom.llm.places import map_places
 from tallyloom.llm.reading import DEMANDING, reading_levels
 from tallyloom.session import keep
 from tallyloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    def part(src: str, place: str) -> DataFrame:
+        t = table(spark, sf, src, "record_id", place, "block")
+        return t.select(F.lit(src).alias("src"), "record_id", F.col(place).alias("value"), "block", F.lit(src == "standard").alias("is_key"))
+
+    typed = part("pension", "gram_panchayat").unionByName(part("ration", "village")).unionByName(part("standard", "panchayat_key"))
+    return map_places(typed, table(spark, sf, "units"))
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of what means no listed unit: records per table."""
+    return p1_found(spark, sf).groupBy("src").agg(F.count("*").alias("typed"), F.count_if(F.col("unit_id") < 0).alias("unmatched"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate(
         table(spark, sf, "pairs", "unique_id_l", "unique_id_r", "match_probability", "via"),
@@ -59,7 +74,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
