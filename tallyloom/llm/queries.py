@@ -10,6 +10,7 @@ from tallyloom.llm.groups import consolidate
 from tallyloom.llm.pack import CAPACITY, fill_containers
 from tallyloom.llm.places import map_places
 from tallyloom.llm.reading import DEMANDING, reading_levels
+from tallyloom.llm.survivor import survivors
 from tallyloom.session import keep
 from tallyloom.sources.tables import table
 
@@ -28,6 +29,18 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return p1_found(spark, sf).groupBy("src").agg(F.count("*").alias("typed"), F.count_if(F.col("unit_id") < 0).alias("unmatched"))
 
 
+def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
+    return survivors(
+        table(spark, sf, "standard", "unique_id", "record_id", "register", "birth_date", "birth_year", "birth_exact", "loaded_at"),
+        table(spark, sf, "clusters", "unique_id", "cluster_id"), table(spark, sf, "register_info", "register", "trust"),
+    )
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    x = p4_survivors(spark, sf).filter("several AND birth_exact")
+    return x.select("cluster_id", F.date_format("birth_date", "yyyy-MM-dd").alias("birth_date"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate(
         table(spark, sf, "pairs", "unique_id_l", "unique_id_r", "match_probability", "via"),
@@ -74,7 +87,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
