@@ -248,3 +248,27 @@ def map_places(typed: DataFrame, units: DataFrame) -> DataFrame:
 
     cases = cases.select("src", "record_id", "value", "block", "is_key")
     return cases.mapInArrow(run, "src string, record_id string, unit_id int").groupBy("src", "record_id").agg(F.min("unit_id").alias("unit_id"))
+
+
+def with_unit(df: DataFrame, value: str, block: str, units: DataFrame, out: str = "unit") -> DataFrame:
+    """df with the unit_id that the typed place means, or null; exact names are looked up like all others. Rows keep their
+    place: no shuffle. A column `out` that df has is replaced."""
+    spark = df.sparkSession
+    entries = [tuple(r) for r in units.select("unit_id", "panchayat", "panchayat_key", "block").limit(MOST_ENTRIES + 1).collect()]
+    if len(entries) > MOST_ENTRIES:
+        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
+    entries = [e for e in entries if e[0] is not None and e[1] is not None]
+    typed = df.select(F.col(value).alias("value")).filter(F.col("value").rlike("[^\\s\\p{Z}]"))
+    names = spark.createDataFrame([(n,) for n in sorted({e[1] for e in entries})], "value string")
+    held = spark.sparkContext.broadcast((entries, common_tokens(typed.join(F.broadcast(names), "value", "left_anti"))))
+    df = df.drop(out)
+    cols = df.columns
+    v, b = cols.index(value), cols.index(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = PlaceMatcher(*held.value)
+        for x in batches:
+            got = [m(p, k, False) if p else -1 for p, k in zip(x.column(v).to_pylist(), x.column(b).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([g if g >= 0 else None for g in got], pa.int32())], names=[*cols, out])
+
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` int")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.encode import encode_corpus
+from tallyloom.llm.entities import match_people
 from tallyloom.llm.groups import consolidate
 from tallyloom.llm.pack import CAPACITY, fill_containers
 from tallyloom.llm.places import map_places
@@ -29,6 +30,15 @@ def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return p1_found(spark, sf).groupBy("src").agg(F.count("*").alias("typed"), F.count_if(F.col("unit_id") < 0).alias("unmatched"))
 
 
+def p2_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches with their confidence."""
+    return match_people(spark, sf)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_matches(spark, sf).select("record_id_l", "record_id_r")
+
+
 def p4_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return survivors(
         table(spark, sf, "standard", "unique_id", "record_id", "register", "birth_date", "birth_year", "birth_exact", "loaded_at"),
@@ -87,7 +97,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
