@@ -92,7 +92,7 @@ def word_likeness(x: Column, y: Column) -> Column:
     short = F.least(F.length(x), F.length(y))
     return (
         F.when(x == y, 1.0).when(short == 1, F.when(F.substring(x, 1, 1) == F.substring(y, 1, 1), 0.55).otherwise(0.0)).when(skeleton(x) == skeleton(y), 0.92)
-        .when((d == 1) & (short >= 3), 0.85).when((d == 2) & (short >= 5), 0.7).when((short >= 3) & (x.startswith(y) | y.startswith(x)), 0.65).otherwise(0.0)
+        .when((d == 1) & (short >= 3), 0.85).when((d == 2) & (short >= 5), 0.7).when((short == 2) & (x.startswith(y) | y.startswith(x)), 0.55).when((short >= 3) & (x.startswith(y) | y.startswith(x)), 0.65).otherwise(0.0)
     )
 
 
@@ -101,25 +101,34 @@ def name_likeness(a: Column, b: Column) -> Column:
     -1 where the shorter name has no such word."""
     s, t = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
     m = F.sort_array(F.transform(F.slice(s, 1, 4), lambda x: F.coalesce(F.array_max(F.transform(F.slice(t, 1, 4), lambda y: word_likeness(x, y))), F.lit(-1.0))), asc=False)
-    return F.struct(F.coalesce(F.get(m, F.lit(0)), F.lit(-1.0)).alias("best"), F.coalesce(F.get(m, F.lit(1)), F.lit(-1.0)).alias("second"))
+    x, y = F.array_join(a, ""), F.array_join(b, "")
+    # blanks put in or left out: the same letters, but for one edit
+    one = (F.size(a) != F.size(b)) & (F.length(x) > 5) & (F.levenshtein(x, y) <= 1)
+    best, second = F.coalesce(F.get(m, F.lit(0)), F.lit(-1.0)), F.coalesce(F.get(m, F.lit(1)), F.lit(-1.0))
+    return F.struct(F.when(one, F.greatest(best, F.lit(0.92))).otherwise(best).alias("best"), F.when(one, F.greatest(second, F.lit(0.92))).otherwise(second).alias("second"))
 
 
 #: Fields that a comparison reads.
 FIELDS = ["src", "toks", "rtoks", "sex", "byear", "bdate", "unit", "blk", "aadhaar", "account", "mobile", "doc"]
 
 
-def compared(edges: DataFrame, p: DataFrame) -> DataFrame:
-    """The pairs with the fields of both records and their degrees of agreement."""
-    side = lambda s, k: p.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in FIELDS])
-    e = edges.join(side("l", "l"), "l").join(side("r", "r"), "r")
+def agreement(e: DataFrame) -> DataFrame:
+    """e with the degrees of agreement of the fields that both sides have as <field>_l and <field>_r."""
     eq = lambda c: F.when(F.col(f"{c}_l").isNull() | F.col(f"{c}_r").isNull(), 0).when(F.col(f"{c}_l") == F.col(f"{c}_r"), 1).otherwise(-1)
     near = F.when(F.levenshtein("aadhaar_l", "aadhaar_r") <= 2, 0.5)
-    gap = F.abs(F.col("byear_l") - F.col("byear_r"))
-    e = e.withColumns({
-        "nm": name_likeness(F.col("toks_l"), F.col("toks_r")), "rl": name_likeness(F.col("rtoks_l"), F.col("rtoks_r")), "sx": eq("sex"), "un": eq("unit"), "bk": eq("blk"),
-        "ad": F.coalesce(F.when(eq("aadhaar") == -1, F.coalesce(near, F.lit(-1.0))), eq("aadhaar").cast("double")), "ac": eq("account"), "mo": eq("mobile"), "bd": eq("bdate"), "gap": gap,
-    })
-    return e.select("l", "r", "w", "src_l", "src_r", "doc_l", "doc_r", F.col("nm.best").alias("n1"), F.col("nm.second").alias("n2"), F.col("rl.best").alias("r1"), F.col("rl.second").alias("r2"), "sx", "un", "bk", "ad", "ac", "mo", "bd", "gap")
+    e = e.withColumns({"nm": name_likeness(F.col("toks_l"), F.col("toks_r")), "rl": name_likeness(F.col("rtoks_l"), F.col("rtoks_r"))})
+    return e.withColumns({
+        "n1": F.col("nm.best"), "n2": F.col("nm.second"), "r1": F.col("rl.best"), "r2": F.col("rl.second"), "sx": eq("sex"), "un": eq("unit"), "bk": eq("blk"),
+        "ad": F.coalesce(F.when(eq("aadhaar") == -1, F.coalesce(near, F.lit(-1.0))), eq("aadhaar").cast("double")), "ac": eq("account"), "mo": eq("mobile"),
+        "bd": eq("bdate"), "gap": F.abs(F.col("byear_l") - F.col("byear_r")),
+    }).drop("nm", "rl")
+
+
+def compared(edges: DataFrame, p: DataFrame) -> DataFrame:
+    """The pairs with the degrees of agreement of both records' fields."""
+    side = lambda s, k: p.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{s}") for c in FIELDS])
+    e = agreement(edges.join(side("l", "l"), "l").join(side("r", "r"), "r"))
+    return e.select("l", "r", "w", "src_l", "src_r", "doc_l", "doc_r", "n1", "n2", "r1", "r2", "sx", "un", "bk", "ad", "ac", "mo", "bd", "gap")
 
 
 def evidence() -> Column:
@@ -133,7 +142,7 @@ def evidence() -> Column:
     place = F.when(c("un") == 1, 2.5).when(c("un") == -1, -3.5).when(c("bk") == 1, 0.7).when(c("bk") == -1, -4.0).otherwise(0.0)
     block = F.when(c("bk") == -1, -1.0).otherwise(0.0)
     ids = F.when(c("ad") == 1, 9.0).when(c("ad") == 0.5, 4.0).when(c("ad") == -1, -4.0).otherwise(0.0) + F.when(c("ac") == 1, 6.0).when(c("ac") == -1, -0.7).otherwise(0.0) + F.when(c("mo") == 1, 4.0).when(c("mo") == -1, -0.7).otherwise(0.0)
-    return n1 + n2 + rel + born + sex + place + block + ids + c("w") * 0.05 - 7.0
+    return n1 + n2 + rel + born + sex + place + block + ids - 7.0
 
 
 def spread(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -176,7 +185,7 @@ def match_people(spark: SparkSession, sf: str) -> DataFrame:
     p = keep(people(spark, sf, "pension", "ration", "mgnrega", "kisan"), "people")
     p = keep(p.withColumn("id", F.monotonically_increasing_id()), "numbered")
     e = keep(candidates(attributes(p)), "edges")
-    scored = compared(prune(e), p).withColumn("s0", evidence()).filter(F.col("s0") >= FOLLOW)
+    scored = compared(prune(e), p).withColumn("s0", evidence() + F.col("w") * 0.05).filter(F.col("s0") >= FOLLOW)
     s = spread(scored.select("l", "r", "src_l", "src_r", "doc_l", "doc_r", "s0")).filter(F.col("s") >= MATCH)
     ids = p.select("id", "record_id")
     m = s.join(ids.select(F.col("id").alias("l"), F.col("record_id").alias("a")), "l").join(ids.select(F.col("id").alias("r"), F.col("record_id").alias("b")), "r")

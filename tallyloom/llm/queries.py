@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.entities import match_people
 from tallyloom.llm.groups import consolidate
+from tallyloom.llm.names import link_mentions
 from tallyloom.llm.pack import CAPACITY, fill_containers
 from tallyloom.llm.places import map_places
 from tallyloom.llm.reading import DEMANDING, reading_levels
@@ -51,6 +52,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("cluster_id", F.date_format("birth_date", "yyyy-MM-dd").alias("birth_date"))
 
 
+def p5_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The links with their confidence."""
+    return link_mentions(spark, sf)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_links(spark, sf).select("mention_l", "mention_r")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return consolidate(
         table(spark, sf, "pairs", "unique_id_l", "unique_id_r", "match_probability", "via"),
@@ -97,7 +107,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_survivors": p4_survivors, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (
