@@ -136,23 +136,33 @@ def split_name(c: Column) -> Column:
     """
     in_ = lambda w, s: w.isin(*sorted(s))
     words = F.filter(F.transform(F.split(to_roman(c), "[\\s.\\-,/]+"), fold_word), lambda w: (w != "") & ~in_(w, STOP_FOLDED))
-    # leading prefixes fall away while another word is left
-    lead = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")),
-        lambda s, w: F.struct(F.when(s.go & in_(w, PREFIX_FOLDED), s.n + 1).otherwise(s.n).alias("n"), (s.go & in_(w, PREFIX_FOLDED)).alias("go")),
-    ).n
-    drop = F.least(lead, F.greatest(F.size(words) - 1, F.lit(0)))
-    kept = F.slice(words, drop + 1, F.greatest(F.size(words), F.lit(1)))
-    first = F.coalesce(F.get(kept, F.lit(0)), F.lit(""))
-    rest = F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))
-    core = F.filter(rest, lambda w: ~in_(w, MIDDLE_FOLDED))
-    middle = F.concat(F.when(drop > 0, F.array(F.lit("md"))).otherwise(F.array().cast("array<string>")), F.filter(rest, lambda w: in_(w, MIDDLE_FOLDED)))
-    last = F.coalesce(F.try_element_at(core, F.lit(-1)), F.lit(""))
-    return F.struct(
-        first.alias("first"), F.array_join(middle, " ").alias("middle"), last.alias("last"),
-        F.trim(F.concat_ws(" ", F.concat(F.array(first), core))).alias("fold"), skeleton(first).alias("skel_first"), skeleton(last).alias("skel_last"),
-    )
+
+    def leading(ws: Column) -> Column:
+        """How many prefixes fall away, as long as another word is left."""
+        step = lambda s, w: F.when((s >= 0) & in_(w, PREFIX_FOLDED), s + 1).when(s >= 0, -s - 1).otherwise(s)
+        n = F.aggregate(ws, F.lit(0), step, lambda s: F.when(s < 0, -s - 1).otherwise(s))
+        return F.least(n, F.greatest(F.size(ws) - 1, F.lit(0)))
+
+    def rest_of(x: Column) -> Column:
+        rest = F.slice(x.ws, x.drop + 2, F.greatest(F.size(x.ws), F.lit(1)))
+        return F.struct(
+            F.coalesce(F.get(x.ws, x.drop), F.lit("")).alias("first"), (x.drop > 0).alias("md"),
+            F.filter(rest, lambda w: in_(w, MIDDLE_FOLDED)).alias("mid"), F.filter(rest, lambda w: ~in_(w, MIDDLE_FOLDED)).alias("core"),
+        )
+
+    def parts(x: Column) -> Column:
+        last = F.coalesce(F.try_element_at(x.core, F.lit(-1)), F.lit(""))
+        return F.struct(
+            x["first"].alias("first"), F.array_join(F.concat(F.when(x.md, F.array(F.lit("md"))).otherwise(F.array().cast("array<string>")), x.mid), " ").alias("middle"),
+            last.alias("last"), F.trim(F.concat_ws(" ", F.concat(F.array(x["first"]), x.core))).alias("fold"), skeleton(x["first"]).alias("skel_first"), skeleton(last).alias("skel_last"),
+        )
+
+    return _let(words, lambda ws: _let(F.struct(ws.alias("ws"), leading(ws).alias("drop")), lambda x: _let(rest_of(x), parts)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def place_key(c: Column) -> Column:
