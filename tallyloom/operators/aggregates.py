@@ -54,7 +54,7 @@ def overlap(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame
 def once_on_both_sides(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs whose left and whose right value occur in no other pair; both counts are over all pairs."""
     l, r = (pairs.groupBy(c).count().filter("count = 1").select(c) for c in (left, right))  # noqa: E741
-    return pairs.join(l, left, "left_semi").join(r, right, "left_semi")
+    return pairs.join(l, left, "left_semi").join(r, right, "left_semi").select(*pairs.columns)
 
 
 def linked_groups(members: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:
