@@ -12,7 +12,7 @@ from tallyloom.llm.names import link_mentions
 from tallyloom.llm.pack import CAPACITY, fill_containers
 from tallyloom.llm.places import map_places
 from tallyloom.llm.reading import DEMANDING, reading_levels
-from tallyloom.llm.survivor import survivors
+from tallyloom.llm.survivor import retained_values, survivors
 from tallyloom.session import keep
 from tallyloom.sources.tables import table
 
@@ -52,6 +52,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("cluster_id", F.date_format("birth_date", "yyyy-MM-dd").alias("birth_date"))
 
 
+def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The Aadhaar tokens of each group that are judged to be its person's own; there may be several or none."""
+    return retained_values(
+        table(spark, sf, "standard", "unique_id", "register", "aadhaar_token"), table(spark, sf, "clusters", "unique_id", "cluster_id"), table(spark, sf, "register_info", "register", "trust")
+    ).withColumnRenamed("value", "aadhaar_token")
+
+
 def p5_links(spark: SparkSession, sf: str) -> DataFrame:
     """The links with their confidence."""
     return link_mentions(spark, sf)
@@ -107,7 +114,7 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p2_found": p2_found, "p2_matches": p2_matches, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_tokens": p4_tokens, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 ORACLE = {
     "p6_found": """
 WITH RECURSIVE e AS (

@@ -270,3 +270,49 @@ def survivors(standard: DataFrame, clusters: DataFrame, register_info: DataFrame
             )
 
     return held.mapInArrow(choose, "cluster_id string, birth_date date, birth_year bigint, birth_exact boolean, confidence double, dates array<date>, several boolean")
+
+
+def retained_values(standard: DataFrame, clusters: DataFrame, register_info: DataFrame, value: str = "aadhaar_token") -> DataFrame:
+    """(cluster_id, value, probability, retained): the values of a field that may have several, each judged by itself.
+
+    A fact is a value of a group; a register that states it supports it, one that states other values only denies it, one
+    that states none says nothing. Values that stand in one group, in two to five, or in more are three kinds, so that
+    fillers and borrowed numbers are told from a person's own. retained: probability above a half. Null values and groups
+    are no facts. Sets here hold registers only, so no group is gathered, however many records or values it has.
+    """
+    spark = standard.sparkSession
+    info = sorted((r["register"], int(r["trust"] or 1)) for r in register_info.select("register", "trust").filter("register IS NOT NULL").collect())
+    names, trust = [r for r, _ in info], [t for _, t in info]
+    known = F.col("register").isin(*names) if names else F.lit(False)
+    s = standard.filter(known).select("unique_id", "register", F.col(value).cast("string").alias("value")).dropna()
+    x = clusters.select("unique_id", "cluster_id").dropna().join(s, "unique_id")
+    facts = keep(x.groupBy("cluster_id", "value").agg(F.collect_set("register").alias("by")), "values")
+    speaks = facts.select("cluster_id", F.explode("by").alias("r")).groupBy("cluster_id").agg(F.collect_set("r").alias("all"))
+    groups = facts.groupBy("value").agg(F.count("*").alias("groups"))
+    rows = facts.join(speaks, "cluster_id").join(groups, "value").select("cluster_id", "value", "by", "all", "groups")
+    at = {r: i for i, r in enumerate(names)}
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for by, all_, n in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                p = [0] * len(at)
+                for r in all_:
+                    p[at[r]] = NOT
+                for r in by:
+                    p[at[r]] = SAME
+                first = min(at[r] for r in by)
+                p[first] = 0
+                out.append(bytes([(PLAIN if n == 1 else FIRST if n <= 5 else IMPOSSIBLE) * len(at) + first, *p]))
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary()), b.column(1)], names=["cluster_id", "facts", "value"])
+
+    held = keep(rows.mapInArrow(patterns, "cluster_id string, facts binary, value string"), "facts")
+    model = spark.sparkContext.broadcast(learn(held, trust, single=False))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, pats = _matrix(b, len(names))
+            post = posterior(odds(kinds, pats, model.value), kinds, False)
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(post), pa.array(post > 0.5)], names=["cluster_id", "value", "probability", "retained"])
+
+    return held.mapInArrow(choose, "cluster_id string, value string, probability double, retained boolean")
