@@ -177,7 +177,7 @@ def learn(facts: DataFrame, trust: list[int], single: bool) -> dict:
     register that brings it up and its degrees by register, a byte each). Each round is one pass that returns a few hundred sums per task."""
     first = model = first_model(trust)
     n_reg = len(trust)
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if trust else 0):
         held = facts.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,6 +81,7 @@ def test_survivors(spark):
     assert got["only-age"]["birth_year"] == 1950 and not got["only-age"]["birth_exact"] and not got["only-age"]["several"]
     assert got["nothing"]["birth_year"] is None and got["no-register"]["birth_date"] is None
     assert S.survivors(s.limit(0), c, info).count() == 0 == S.survivors(s, c.limit(0), info).count()
+    assert S.survivors(s, c, info.limit(0)).filter("birth_exact").count() == 0
 
 
 def test_retained_values_tell_fillers_and_slips_from_own_numbers(spark):
