@@ -93,10 +93,11 @@ class PlaceMatcher:
             self.block[i] = block_key(block)
         self.raw, self.key = Vocabulary({w for w in self.by_raw if w}), Vocabulary({w for w in self.by_key if w})
         self.blocks = {b for b in self.block.values() if b}
+        self.ends = sorted(self.blocks)
         self.weight = math.log(1 + len(entries))
         # a common spelling of an entry is no word that stands beside any place
         self.common = {w for w in common if max(self.repair(w).values(), default=0.0) < 0.75}
-        self.glued = sorted({g for w in [*self.common, "block", *GLUED] if len(w) > 1 for g in (folded(w), folded(w) + "a") if len(g) > 1} - {"a"}, key=len, reverse=True)
+        self.glued = sorted({g for w in [*self.common, "block", *GLUED] if len(w) > 1 for g in (folded(w), folded(w) + "a") if len(g) > 1} - {"a"}, key=lambda g: (-len(g), g))
         self.tokens: dict = {}
         self.values: dict = {}
 
@@ -169,7 +170,7 @@ class PlaceMatcher:
         while todo and len(seen) < 200:
             k = todo.pop(0)
             cut = [(k[len(g) :], None) for g in self.glued if k.startswith(g)] + [(k[: -len(g)], None) for g in self.glued if k.endswith(g)]
-            cut += [(k[: -len(b)], b) for b in self.blocks if k.endswith(b)] + [(k[: 1 - len(b)], b) for b in self.blocks if b[0] == "h" and k.endswith(b[1:])]
+            cut += [(k[: -len(b)], b) for b in self.ends if k.endswith(b)] + [(k[: 1 - len(b)], b) for b in self.ends if b[0] == "h" and k.endswith(b[1:])]
             for x, b in cut:
                 if len(x) >= 3 and x not in seen:
                     seen.add(x)
