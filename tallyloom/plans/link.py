@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.functions.tokens import clk, dice, token
 from tallyloom.operators import em
 from tallyloom.operators.aggregates import once_on_both_sides
-from tallyloom.operators.blocking import block_pairs, jaro_winkler, pair_gammas
+from tallyloom.operators.blocking import block_pairs, jaro_winkler, levels, pair_gammas
 from tallyloom.operators.components import components
 from tallyloom.session import keep
 
@@ -38,16 +39,42 @@ def compare(pairs: DataFrame, recs: DataFrame) -> DataFrame:
     return x.withColumns(pair_gammas())
 
 
+NAMES = {"name_first": "skel_first", "name_last": "skel_last", "rel_first": "rel_skel"}
+
+
+def blind(standard: DataFrame, secret: bytes) -> DataFrame:
+    """Standard records without clear names: each name part becomes a keyed token with its Bloom filter in <part>_clk, each
+    skeleton a keyed token. Every distinct name is encoded once and joined back."""
+    x = standard
+    for c, skel in NAMES.items():
+        code = x.select(c).filter(F.col(c).isNotNull()).distinct().select(c, clk(F.col(c), secret, c[0]).alias(f"{c}_clk"))
+        x = x.join(code, c, "left").withColumns({c: token(F.col(c), secret, 16), skel: token(F.col(skel), secret, 16)})
+    return x.withColumn("name_middle", token(F.col("name_middle"), secret, 16)).drop("name", "name_fold")
+
+
+def compare_blinded(pairs: DataFrame, recs: DataFrame) -> DataFrame:
+    """Pairs with all comparison levels, names compared by the Dice similarity of their Bloom filters."""
+    cols = [*[c for c in COLS if c != "unique_id"], *[f"{c}_clk" for c in NAMES]]
+    side = lambda k, s: recs.select(F.col("unique_id").alias(k), *[F.col(c).alias(c + s) for c in cols])
+    x = pairs.join(side("l", "_l"), "l").join(side("r", "_r"), "r").withColumns({f"{c}_jw": F.lit(0.0) for c in NAMES})
+    gammas = pair_gammas()
+    for (c, skel), g in zip(NAMES.items(), ("gamma_first_name", "gamma_surname", "gamma_relation_name")):
+        a, b = F.col(f"{c}_l"), F.col(f"{c}_r")
+        d = dice(F.col(f"{c}_clk_l"), F.col(f"{c}_clk_r"))
+        gammas[g] = levels(a.isNull() | b.isNull(), a == b, d >= 0.85, F.col(f"{skel}_l") == F.col(f"{skel}_r"), d >= 0.7)
+    return x.withColumns(gammas)
+
+
 def frequencies(recs: DataFrame, c: str) -> DataFrame:
     """Share of each value of c among the records that have one."""
     n = recs.filter(F.col(c).isNotNull())
     return n.groupBy(c).count().join(F.broadcast(n.agg(F.count("*").alias("total"))), F.lit(True)).select(c, (F.col("count") / F.col("total")).alias("tf"))
 
 
-def train(scored: DataFrame, recs: DataFrame, seed: int = 2026, sample: int = 700) -> tuple[dict, dict, float]:
+def train(scored: DataFrame, recs: DataFrame, compare=compare, seed: int = 2026, sample: int = 700) -> tuple[dict, dict, float]:
     """(m, u, prior). u from all pairs of a hash sample of records (bounded by its size); m from two sessions, each without the
     comparisons of the columns it is blocked on."""
-    some = em.sample_of(recs.select(*COLS), "unique_id", sample, seed).withColumn("one", F.lit(1))
+    some = em.sample_of(recs, "unique_id", sample, seed).withColumn("one", F.lit(1))
     rand = compare(block_pairs(some, "unique_id", [(["one"], None)]), some)
     u = em.level_shares([r.asDict() for r in em.gamma_counts(rand, LEARNT).collect()], LEARNT)
     by = F.col("aadhaar_token_l") == F.col("aadhaar_token_r")
@@ -66,10 +93,10 @@ def train(scored: DataFrame, recs: DataFrame, seed: int = 2026, sample: int = 70
     return m, u, lam
 
 
-def score(scored: DataFrame, recs: DataFrame, m: dict, u: dict, lam: float) -> DataFrame:
+def score(scored: DataFrame, recs: DataFrame, m: dict, u: dict, lam: float, first_top: int = 5) -> DataFrame:
     w = em.weight([*LEARNT, *FIXED], m, u, lam)
     x = scored
-    for c, g, top in (("name_first", "gamma_first_name", 5), ("name_last", "gamma_surname", 4)):
+    for c, g, top in (("name_first", "gamma_first_name", first_top), ("name_last", "gamma_surname", 4)):
         tf = frequencies(recs, c)
         x = x.join(tf.select(F.col(c).alias(f"{c}_l"), F.col("tf").alias(f"{c}_tl")), f"{c}_l", "left").join(tf.select(F.col(c).alias(f"{c}_r"), F.col("tf").alias(f"{c}_tr")), f"{c}_r", "left")
         w = w + F.coalesce(em.term_adjustment(F.col(g), top, u.get(g, {}).get(top, em.FLOOR), F.col(f"{c}_tl"), F.col(f"{c}_tr")), F.lit(0.0))
@@ -86,7 +113,7 @@ def strong(scored: DataFrame) -> DataFrame:
     return scored.filter((c("match_probability") >= ACCEPT) & sure & ~never)
 
 
-def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = False) -> DataFrame:
+def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = False, blinded: bool = False) -> DataFrame:
     """(l, r, shared): members of two documents of different registers that share at least two likely members, alike in first
     name, sex and birth band. A member that meets several takes none: counted over all document pairs, or per pair."""
     r = recs.filter("doc_key IS NOT NULL").select("unique_id", "doc_key", "name_first", "skel_first", "sex", "birth_year", "aadhaar_token")
@@ -98,7 +125,10 @@ def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = Fal
     gap = F.abs(F.col("birth_year_l") - F.col("birth_year_r"))
     x = x.filter((F.col("sex_l") == F.col("sex_r")) & (gap.isNull() | (gap <= BAND)) & ~F.coalesce(F.col("aadhaar_token_l") != F.col("aadhaar_token_r"), F.lit(False)))
     same = F.col("skel_first_l") == F.col("skel_first_r")
-    x = x.withColumn("jw", F.when(~same, jaro_winkler("name_first_l", "name_first_r"))).filter(same | (F.col("jw") >= HOUSEHOLD_JW))
+    if blinded:
+        x = x.filter(same)
+    else:
+        x = x.withColumn("jw", F.when(~same, jaro_winkler("name_first_l", "name_first_r"))).filter(same | (F.col("jw") >= HOUSEHOLD_JW))
     x = keep(x.select(F.col("unique_id_l").alias("l"), F.col("unique_id_r").alias("r"), "shared", "d1", "d2"), "households")
     if per_document_pair:
         n = lambda k: F.count("*").over(W.partitionBy("d1", "d2", k))
@@ -107,13 +137,15 @@ def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = Fal
     return once_on_both_sides(x, "l", "r").select("l", "r", "shared")
 
 
-def link(standard: DataFrame, code: str = "R") -> tuple[DataFrame, DataFrame, dict]:
-    """(pairs, clusters, model) of standard records; a record without partners is its own group, named by the smallest id."""
-    recs = keep(standard.select(*COLS), "recs")
-    scored = keep(compare(block_pairs(recs, "unique_id", blocking_rules()), recs), "gammas")
-    m, u, lam = train(scored, recs)
-    pairs = keep(score(scored, recs, m, u, lam), "pairs")
-    more = households(pairs, recs)
+def link(standard: DataFrame, code: str = "R", blinded: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """(pairs, clusters, model) of standard records; a record without partners is its own group, named by the smallest id.
+    blinded: the records come from `blind`."""
+    recs = keep(standard.select(*COLS, *[f"{c}_clk" for c in NAMES if blinded]), "recs")
+    how = compare_blinded if blinded else compare
+    scored = keep(how(block_pairs(recs, "unique_id", blocking_rules()), recs), "gammas")
+    m, u, lam = train(scored, recs, how)
+    pairs = keep(score(scored, recs, m, u, lam, 4 if blinded else 5), "pairs")
+    more = households(pairs, recs, blinded=blinded)
     first = strong(pairs).select("l", "r")
     edges = first.unionByName(more.select("l", "r"))
     cc = components(edges, "l", "r")

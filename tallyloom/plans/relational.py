@@ -14,7 +14,7 @@ from tallyloom.operators.blocking import block_pairs, jaro_winkler, levels, near
 from tallyloom.operators.chain import digest
 from tallyloom.operators.components import components
 from tallyloom.operators.govern import GovernedSession, Role
-from tallyloom.plans.link import link
+from tallyloom.plans.link import blind, link
 from tallyloom.plans.standardise import load_all
 from tallyloom.session import TODAY, keep
 from tallyloom.sources.tables import table, with_ordinal
@@ -333,6 +333,14 @@ def linkage(spark: SparkSession, sf: str) -> DataFrame:
     return link(one)[1]
 
 
+@query()
+def linkage_blinded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over Bloom-filter encodings of names; no clear name enters it."""
+    s = table(spark, sf, "standard")
+    one = A.first_in_order(s, ["record_id"], [F.col("loaded_at"), F.col("unique_id")], [c for c in s.columns if c != "record_id"]).select(*s.columns)
+    return link(blind(one, DEMO_KEY), "B", blinded=True)[1]
+
+
 @query("""
 SELECT r.cluster_id, count(*) AS records, bool_or(aadhaar_token IS NOT NULL) AS has_aadhaar, string_agg(DISTINCT register, ',' ORDER BY register) AS registers, strftime(min(birth_date) FILTER (WHERE birth_exact), '%Y-%m-%d') AS first_exact,
  round_even(median(birth_year), 0)::BIGINT AS birth_year, bool_or(register = 'mgnrega') AS mgnrega, (count(*) FILTER (WHERE register = 'death')) = 0 AS alive, max(loaded_at) AS seen
