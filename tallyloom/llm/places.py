@@ -137,7 +137,7 @@ class PlaceMatcher:
     def scores(self, value: str) -> tuple[dict[int, float], set[str]]:
         """(entries by soft TF-IDF, blocks named in the value)."""
         text = _WARD.sub(" ", roman_text(value))
-        words = _WORD.findall(text)[:40]
+        words = _WORD.findall(text)
         named = {folded(w) for w in words} & self.blocks
         costs = []
         for w in words:
@@ -225,7 +225,7 @@ def map_places(typed: DataFrame, units: DataFrame) -> DataFrame:
     A null or blank value and one that equals an entry byte for byte (panchayat; panchayat_key for rows with is_key) is no
     case and gives no row. A record that is delivered again counts once (the smallest unit_id, should its values differ).
     A null or unknown block decides nothing; then of entries with one name and score the smallest unit_id is taken. An
-    empty list maps everything to -1. Very long values are searched by their first 40 words. Extra columns are ignored.
+    empty list maps everything to -1. Values are searched whole, however long. Extra columns are ignored.
     """
     spark = typed.sparkSession
     entries = [tuple(r) for r in units.select("unit_id", "panchayat", "panchayat_key", "block").limit(MOST_ENTRIES + 1).collect()]
