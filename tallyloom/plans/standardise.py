@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import dates
 from tallyloom.functions.text import place_key, script, split_name
 from tallyloom.functions.tokens import token
+from tallyloom.session import ship
 
 # fixed values: department and source columns of each register's common fields
 REGISTERS = {
@@ -53,6 +54,7 @@ def standardise(df: DataFrame, register: str, secret: bytes) -> DataFrame:
 
 def load_all(spark: SparkSession, folder: str, secret: bytes, registers: list[str] | None = None) -> DataFrame:
     """All registers of a folder in the standard layout; those that aren't there are left out."""
+    ship(spark)
     out = None
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

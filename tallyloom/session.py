@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,27 @@ def build_session(app: str = "tallyloom", cpus: int | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per session: they needn't have it on their path. Spark's own file
+    server carries the archive to every executor, also to those that join later."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyloom", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    # served by the driver as long as the application lives
+    d = tempfile.mkdtemp(prefix="tallyloom-code-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "tallyloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tallyloom = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

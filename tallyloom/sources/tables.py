@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.session import keep
+from tallyloom.session import keep, ship
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str | Column) -> DataFrame:
     """The parquet table `name`; with columns given, only those reach the scan."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
