@@ -2,9 +2,9 @@
 
 Candidates are a graph: two records of different tables are joined by an edge for every rare attribute that they share
 (an identifier; two name skeletons with a place, a block or a birth band; a name skeleton with a relation's skeleton), and
-the edge weighs the more, the rarer the attributes are. An attribute that many records share is split by further ones, so
-no large block is paired out and the records in it still meet. Meta-blocking prunes edges that weigh less than the mean
-edge of both their records. What is left is compared field by field, and the similarity then spreads: a pair gains from
+the edge weighs the more, the rarer the attributes are. Every attribute counts once, however many records share it: all its
+pairs are edges, and those of an attribute that many records share are made in tiles, by several tasks. Meta-blocking prunes
+edges that weigh less than the mean edge of both their records. What is left is compared field by field, and the similarity then spreads: a pair gains from
 other matched members of the two households, from a third record that both match, and loses to a better partner of either
 record in the other's table. This is repeated until no pair changes sides.
 """
@@ -19,8 +19,8 @@ from tallyloom.functions.text import skeleton
 from tallyloom.llm.people import people, skeletons
 from tallyloom.session import keep
 
-#: An attribute shared by more records than this is split by others before records are paired.
-LARGE = 150
+#: Records of an attribute that one tile pairs with as many others; says who does the work, not what comes out.
+TILE = 500
 #: Log odds at which a pair is a match, and below which it is no longer followed.
 MATCH, FOLLOW = 0.0, -6.0
 #: Rounds of spreading, at most; it ends when no pair changes sides.
@@ -42,37 +42,36 @@ def _cross(a: Column, b: Column) -> Column:
 
 
 def attributes(p: DataFrame) -> DataFrame:
-    """Each record with its array `keys` of blocking attributes and `extra`, what large blocks are split by."""
+    """Each record with its array `keys` of blocking attributes."""
     one = lambda c: F.array_compact(F.array(c))
     sk, rsk = F.slice(skeletons(F.col("toks")), 1, 5), F.slice(skeletons(F.col("rtoks")), 1, 3)
     p = p.withColumns({"sk": sk, "rsk": rsk})
     p = p.withColumn("two", _pairs_of(F.col("sk")))
     unit, blk = one(F.col("unit").cast("string")), one(F.col("blk"))
     bands = F.array_compact(F.array(F.floor(F.col("byear") / 4).cast("string"), F.concat(F.lit("h"), F.floor((F.col("byear") + 2) / 4).cast("string"))))
-    third = F.transform(F.filter("toks", lambda t: F.lit(True)), lambda t: F.substring(t, 1, 1))
     keys = F.concat(
         _tag("a:", one(F.col("aadhaar"))), _tag("c:", one(F.col("account"))), _tag("m:", one(F.col("mobile"))),
         _tag("n:", _cross(F.col("two"), unit)), _tag("b:", _cross(F.col("two"), blk)), _tag("y:", _cross(F.col("two"), bands)),
         _tag("r:", _cross(_cross(F.col("sk"), F.col("rsk")), unit)), _tag("s:", _cross(_cross(F.col("sk"), unit), bands)),
     )
-    extra = F.concat(_tag("y", one(F.col("byear").cast("string"))), _tag("t", F.array_distinct(F.concat(third, F.col("sk")))), _tag("r", F.col("rsk")), _tag("u", unit), one(F.col("mobile")))
-    return p.withColumns({"keys": F.array_distinct(keys), "extra": F.array_distinct(extra)})
+    return p.withColumn("keys", F.array_distinct(keys))
 
 
-def candidates(p: DataFrame, key_large: int = LARGE) -> DataFrame:
-    """(l, r, w): pairs of record numbers (`id`) of different `src` with the weight of the attributes they share."""
+def candidates(p: DataFrame, tile: int = TILE) -> DataFrame:
+    """(l, r, w): pairs of record numbers (`id`) of different `src` with the weight of the attributes they share.
+
+    All pairs of an attribute's records are made. They are dealt to buckets of about `tile` records, and two buckets, or one
+    with itself, are a tile; so a pair meets in one tile, and an attribute that many records share has no long task."""
     n = p.count()
-    k = p.select("id", "src", "extra", F.explode("keys").alias("key"))
+    k = p.select("id", "src", F.explode("keys").alias("key"))
     df = k.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    small = F.col("df") <= key_large
-    rows = keep(k.join(df, "key"), "keys")
-    # large blocks: two further attributes must agree as well
-    split = rows.filter(~small).select("id", "src", F.explode(_pairs_of(F.col("extra"))).alias("more"), "key")
-    split = split.select("id", "src", F.concat("key", F.lit("/"), "more").alias("key"))
-    sub = split.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    both = rows.filter(small).select("id", "src", "key", "df").unionByName(split.join(sub, "key").select("id", "src", "key", "df"))
-    x, y = both.alias("x"), both.select("id", "src", "key").alias("y")
-    j = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.src") != F.col("y.src")))
+    rows = k.join(df, "key").withColumn("tiles", F.ceil(F.col("df") / tile).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = keep(rows.select("id", "src", "key", "df", "bucket", F.least("bucket", "other").alias("i"), F.greatest("bucket", "other").alias("j")), "keys")
+    x, y = rows.alias("x"), rows.select("id", "src", "key", "bucket", "i", "j").alias("y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.bucket") != F.col("y.bucket"))
+    j = x.join(y, meet & once & (F.col("x.id") < F.col("y.id")) & (F.col("x.src") != F.col("y.src")))
     w = F.log2(F.lit(float(max(n, 2))) / F.col("x.df"))
     return j.groupBy(F.col("x.id").alias("l"), F.col("y.id").alias("r")).agg(F.sum(w).alias("w"), F.first("x.src").alias("src_l"), F.first("y.src").alias("src_r"))
 
