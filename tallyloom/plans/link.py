@@ -71,12 +71,76 @@ def frequencies(recs: DataFrame, c: str) -> DataFrame:
     return n.groupBy(c).count().join(F.broadcast(n.agg(F.count("*").alias("total"))), F.lit(True)).select(c, (F.col("count") / F.col("total")).alias("tf"))
 
 
-def train(scored: DataFrame, recs: DataFrame, compare=compare, seed: int = 2026, sample: int = 700) -> tuple[dict, dict, float]:
-    """(m, u, prior). u from all pairs of a hash sample of records (bounded by its size); m from two sessions, each without the
-    comparisons of the columns it is blocked on."""
-    some = em.sample_of(recs, "unique_id", sample, seed).withColumn("one", F.lit(1))
-    rand = compare(block_pairs(some, "unique_id", [(["one"], None)]), some)
-    u = em.level_shares([r.asDict() for r in em.gamma_counts(rand, LEARNT).collect()], LEARNT)
+def equal_pairs(recs: DataFrame, keys: list[str], within: str | None = None) -> int:
+    """Pairs of records that agree on all keys, none null, from the counts of their values: no pair is made."""
+    x = recs.dropna(subset=keys) if within is None else recs.filter(within).dropna(subset=keys)
+    return int(x.groupBy(*keys).agg(F.count("*").alias("s")).agg(F.coalesce(F.sum(F.expr("s * (s - 1) div 2")), F.lit(0))).first()[0])
+
+
+def compound_pairs(recs: DataFrame) -> tuple[int, int]:
+    """Pairs of which one first name is the other's first and middle name together, but not the same: all, and those with an
+    equal skeleton, from counts."""
+    both = F.concat("name_first", F.replace(F.coalesce("name_middle", F.lit("")), F.lit(" "), F.lit("")))
+    a = recs.select(both.alias("both"), "name_first", F.col("skel_first").alias("skel")).filter("both <> name_first").groupBy("both", "skel").agg(F.count("*").alias("na"))
+    b = recs.filter("name_first IS NOT NULL").groupBy(F.col("name_first").alias("both"), "skel_first").agg(F.count("*").alias("nb"))
+    n = F.col("na") * F.col("nb")
+    r = a.join(b, "both").agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(F.when(F.col("skel") == F.col("skel_first"), n)), F.lit(0))).first()
+    return int(r[0]), int(r[1])
+
+
+def exact_shares(recs: DataFrame, blinded: bool = False) -> dict[str, dict[int, float]]:
+    """Share of each level that is an equality among all pairs of records, by comparison; birth and place wholly so."""
+    out = {}
+
+    def put(g: str, filled: str, pairs: dict[int, int], rest: bool) -> None:
+        n = recs.filter(filled).count()
+        total = n * (n - 1) // 2
+        if rest:
+            pairs = pairs | {0: total - sum(pairs.values())}
+        out[g] = {k: v / total for k, v in pairs.items() if v} if total else {}
+
+    for c in ("name_middle", "sex", "aadhaar_token", "account_token"):
+        put({"name_middle": "gamma_middle"}.get(c, f"gamma_{c}"), f"{c} IS NOT NULL", {1: equal_pairs(recs, [c])}, True)
+    for (c, skel), g in zip(NAMES.items(), ("gamma_first_name", "gamma_surname", "gamma_relation_name")):
+        same = equal_pairs(recs, [c])
+        if blinded:
+            pairs = {4: same}
+        else:
+            alike = equal_pairs(recs.filter(F.col(c).isNotNull()), [skel]) - equal_pairs(recs, [c, skel])
+            pairs = {4: same, 3: alike}
+            if c == "name_first":
+                more, more_alike = compound_pairs(recs)
+                pairs = {5: same, 4: more, 3: alike - more_alike}
+        put(g, f"{c} IS NOT NULL", pairs, False)
+    keyed = equal_pairs(recs, ["panchayat_key"], "block IS NOT NULL")
+    put("gamma_place", "block IS NOT NULL", {2: keyed, 1: equal_pairs(recs, ["block"]) - equal_pairs(recs, ["block", "panchayat_key"])}, True)
+    born = recs.filter("birth_year IS NOT NULL")
+    years = {int(r[0]): r[1] for r in born.groupBy("birth_year").count().collect()}  # bounded by the calendar
+    gaps = lambda lo, hi: sum(n * years.get(y + d, 0) for y, n in years.items() for d in range(lo, hi + 1))
+    dated = {y: equal_pairs(born, ["birth_date", *y], "birth_exact") for y in ((), ("birth_year",))}
+    zero = sum(n * (n - 1) // 2 for n in years.values())
+    # an equal date beside unequal years is no case of valid records
+    put("gamma_birth", "birth_year IS NOT NULL", {4: dated[()], 3: zero - dated["birth_year",], 2: gaps(1, 2), 1: gaps(3, 6)}, True)
+    return out
+
+
+def train(scored: DataFrame, recs: DataFrame, compare=compare, seed: int = 2026, sample: int = 2829) -> tuple[dict, dict, float]:
+    """(m, u, prior). u of equalities from the value counts of all records; how the pairs beyond are shared out among the fuzzy
+    levels from all pairs of a hash sample of records (4 million, as many as the reference's); m from two sessions, each without
+    the comparisons of the columns it is blocked on."""
+    some = keep(em.sample_of(recs, "unique_id", sample, seed), "sample")
+    # bounded by the sample: its pairs are made and compared without a shuffle
+    ids = some.select(F.col("unique_id").alias("l")).repartition(4 * recs.sparkSession.sparkContext.defaultParallelism)
+    rand = compare(ids.join(F.broadcast(some.select(F.col("unique_id").alias("r"))), F.col("l") < F.col("r")), F.broadcast(some))
+    exact = exact_shares(recs, compare is compare_blinded)
+    fuzzy = ["gamma_first_name", "gamma_surname", "gamma_relation_name"]
+    counts = [r.asDict() for r in em.gamma_counts(rand, fuzzy).collect()]
+    u = {g: {k: max(em.FLOOR, v) for k, v in sorted(exact[g].items())} for g in LEARNT}
+    for g in fuzzy:
+        counted = {5, 4, 3} if compare is not compare_blinded else {4}
+        shares = em.level_shares([r for r in counts if r[g] not in counted], [g])[g]
+        beyond = max(0.0, 1 - sum(exact[g].values()))
+        u[g] = dict(sorted((u[g] | {k: max(em.FLOOR, beyond * v) for k, v in shares.items()}).items()))
     by = F.col("aadhaar_token_l") == F.col("aadhaar_token_r")
     both = (F.col("skel_first_l") == F.col("skel_first_r")) & (F.col("skel_last_l") == F.col("skel_last_r")) & (F.col("panchayat_key_l") == F.col("panchayat_key_r"))
     n = recs.count()
