@@ -44,7 +44,7 @@ def _cross(a: Column, b: Column) -> Column:
 def attributes(p: DataFrame) -> DataFrame:
     """Each record with its array `keys` of blocking attributes."""
     one = lambda c: F.array_compact(F.array(c))
-    sk, rsk = F.slice(skeletons(F.col("toks")), 1, 5), F.slice(skeletons(F.col("rtoks")), 1, 3)
+    sk, rsk = skeletons(F.col("toks")), skeletons(F.col("rtoks"))
     p = p.withColumns({"sk": sk, "rsk": rsk})
     p = p.withColumn("two", _pairs_of(F.col("sk")))
     unit, blk = one(F.col("unit").cast("string")), one(F.col("blk"))
@@ -99,7 +99,7 @@ def name_likeness(a: Column, b: Column) -> Column:
     """struct(best, second): the two best likenesses of words of the shorter name to words of the other, in any order;
     -1 where the shorter name has no such word."""
     s, t = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    m = F.sort_array(F.transform(F.slice(s, 1, 4), lambda x: F.coalesce(F.array_max(F.transform(F.slice(t, 1, 4), lambda y: word_likeness(x, y))), F.lit(-1.0))), asc=False)
+    m = F.sort_array(F.transform(s, lambda x: F.coalesce(F.array_max(F.transform(t, lambda y: word_likeness(x, y))), F.lit(-1.0))), asc=False)
     x, y = F.array_join(a, ""), F.array_join(b, "")
     # blanks put in or left out: the same letters, but for one edit
     one = (F.size(a) != F.size(b)) & (F.length(x) > 5) & (F.levenshtein(x, y) <= 1)
@@ -111,13 +111,16 @@ def name_likeness(a: Column, b: Column) -> Column:
 FIELDS = ["src", "toks", "rtoks", "sex", "byear", "bdate", "unit", "blk", "aadhaar", "account", "mobile", "doc"]
 
 
-def agreement(e: DataFrame) -> DataFrame:
-    """e with the degrees of agreement of the fields that both sides have as <field>_l and <field>_r."""
+def agreement(e: DataFrame, names: bool = True) -> DataFrame:
+    """e with the degrees of agreement of the fields that both sides have as <field>_l and <field>_r; without names, e has the
+    likeness of the names as n1 and n2."""
     eq = lambda c: F.when(F.col(f"{c}_l").isNull() | F.col(f"{c}_r").isNull(), 0).when(F.col(f"{c}_l") == F.col(f"{c}_r"), 1).otherwise(-1)
     near = F.when(F.levenshtein("aadhaar_l", "aadhaar_r") <= 2, 0.5)
-    e = e.withColumns({"nm": name_likeness(F.col("toks_l"), F.col("toks_r")), "rl": name_likeness(F.col("rtoks_l"), F.col("rtoks_r"))})
+    e = e.withColumn("rl", name_likeness(F.col("rtoks_l"), F.col("rtoks_r")))
+    if names:
+        e = e.withColumn("nm", name_likeness(F.col("toks_l"), F.col("toks_r"))).withColumns({"n1": F.col("nm.best"), "n2": F.col("nm.second")})
     return e.withColumns({
-        "n1": F.col("nm.best"), "n2": F.col("nm.second"), "r1": F.col("rl.best"), "r2": F.col("rl.second"), "sx": eq("sex"), "un": eq("unit"), "bk": eq("blk"),
+        "r1": F.col("rl.best"), "r2": F.col("rl.second"), "sx": eq("sex"), "un": eq("unit"), "bk": eq("blk"),
         "ad": F.coalesce(F.when(eq("aadhaar") == -1, F.coalesce(near, F.lit(-1.0))), eq("aadhaar").cast("double")), "ac": eq("account"), "mo": eq("mobile"),
         "bd": eq("bdate"), "gap": F.abs(F.col("byear_l") - F.col("byear_r")),
     }).drop("nm", "rl")

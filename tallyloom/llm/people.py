@@ -18,17 +18,43 @@ REGISTERS = {
     "kisan": ("farmer_name", "father_husband_name", "village", "block", "gender", "aadhaar", "account", None, None, ("dob",)),
     "death": ("deceased_name", "father_husband_name", "village", "block", "gender", "aadhaar", None, None, None, ("age_at_death", "date_of_death")),
 }
-#: Words of names that distinguish nobody: honorifics, prefixes, middle names and their abbreviations (fixed values).
-_MORE = "parsad parsd srimati srim sr srimat kumar kumr kr ku ch c pd pr pra si s sinh sing d de dv deb dev swa sva sb la l na p n r b m"
-WEAK = sorted(STOP_FOLDED | PREFIX_FOLDED | MIDDLE_FOLDED | {w for w in _MORE.split() if len(w) > 1})
+#: Words before a name: honorifics, prefixes and their abbreviations, folded (fixed values).
+_BEFORE = "srimati srim sr srimat ku kumr swa sva sb mrs smt"
+#: Words after a given name that distinguish nobody: middle names and their abbreviations, folded (fixed values).
+_AFTER = "sih parsad parsd kumar kumr kr ku pd pr pra si sinh sing de dv deb dev la na"
+BEFORE = sorted(STOP_FOLDED | PREFIX_FOLDED | set(_BEFORE.split()))
+AFTER = sorted(STOP_FOLDED | MIDDLE_FOLDED | set(_AFTER.split()))
+#: What a middle name and its abbreviations stand for, folded (fixed values).
+MIDDLE_KINDS = {
+    "s": "sing sinh sin sih si s", "k": "kumar kumr kr ku k", "p": "prasad parsad parsd pd pr pra p", "c": "candr candra cand candar candro c",
+    "l": "lal la l", "m": "md mohd mo mohamad mohamed muhamad mohmad mohamad muhamad", "d": "dat dut", "r": "ram", "n": "nat",
+}
 
 
-def words(c: Column) -> Column:
-    """The folded words of a name without those that distinguish nobody; single letters stay."""
+def _parts(c: Column) -> Column:
+    """All folded words of a name."""
     apart = F.regexp_replace(c, "(?<=[a-z]{2})(?=[A-Z])", " ")
     # a weak word written together with the one before it is taken off
     cut = lambda w: F.regexp_replace(fold_word(w), "(?<=[a-z]{3})(?:kumar|prasad|parsad|candr|debi|devi|sing|candar)$", "")
-    return F.filter(F.transform(F.split(to_roman(apart), "[\\s.\\-,/0-9()]+"), cut), lambda w: (w != "") & ~w.isin(*WEAK))
+    return F.filter(F.transform(F.split(to_roman(apart), "[\\s.\\-,/0-9()]+"), cut), lambda w: w != "")
+
+
+def words(c: Column) -> Column:
+    """The folded words of a name without those that distinguish nobody; single letters stay, and what could abbreviate a
+    given name stays where it is the first word. A name of such words only keeps them."""
+    all_ = _parts(c)
+    # honorifics fall away in front; after the first word left, middle names do
+    front = F.filter(all_, lambda w: ~w.isin(*BEFORE))
+    left = F.filter(front, lambda w, i: ((i == 0) & (F.length(w) < 3)) | ~w.isin(*AFTER))
+    return F.when(F.size(left) > 0, left).otherwise(all_)
+
+
+def middles(c: Column) -> Column:
+    """The kinds of middle names in a name, without order; a word that may be the given name's initial is none."""
+    kinds = {w: k for k, ws in MIDDLE_KINDS.items() for w in ws.split()}
+    of = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*map(F.lit, kinds.values())))
+    front = F.filter(_parts(c), lambda w: ~w.isin(*[x for x in BEFORE if x not in PREFIX_FOLDED]))
+    return F.array_distinct(F.filter(F.transform(front, lambda w, i: F.when((i > 0) | w.isin(*sorted(PREFIX_FOLDED)), F.try_element_at(of, w))), lambda k: k.isNotNull()))
 
 
 def birth_date(c: Column) -> Column:
@@ -39,7 +65,7 @@ def birth_date(c: Column) -> Column:
 
 
 def people(spark: SparkSession, sf: str, *registers: str) -> DataFrame:
-    """A row per distinct record: src, record_id, name, rel (as typed), toks, rtoks (their words), sex, byear, bdate (null
+    """A row per distinct record: src, record_id, name, rel (as typed), toks, rtoks (their words), mids, rmids (kinds of their middle names), sex, byear, bdate (null
     for first-of-January and impossible dates), unit, blk, aadhaar (null for fillers of one digit and wrong lengths),
     account (without leading zeros), mobile, doc. A redelivered record counts once."""
     parts = []
@@ -77,7 +103,11 @@ def people(spark: SparkSession, sf: str, *registers: str) -> DataFrame:
     x = x.groupBy("src", "record_id").agg(F.min_by(F.struct(*[c for c in x.columns if c not in ("src", "record_id", "loaded_at")]), F.struct("loaded_at", "name")).alias("r")).select("src", "record_id", "r.*")
     x = with_unit(x, "place", "block", table(spark, sf, "units"))
     blk = fold_word(F.regexp_replace(to_roman(F.col("block")), "[^a-z]", ""))
-    return x.withColumns({"toks": words(F.col("name")), "rtoks": F.coalesce(words(F.col("rel")), F.array().cast("array<string>")), "blk": F.when(blk != "", blk)}).drop("place", "block")
+    none = F.array().cast("array<string>")
+    return x.withColumns({
+        "toks": words(F.col("name")), "rtoks": F.coalesce(words(F.col("rel")), none), "mids": F.coalesce(middles(F.col("name")), none), "rmids": F.coalesce(middles(F.col("rel")), none),
+        "blk": F.when(blk != "", blk),
+    }).drop("place", "block")
 
 
 def skeletons(c: Column) -> Column:
