@@ -11,6 +11,8 @@ record in the other's table. This is repeated until no pair changes sides.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from tallyloom.session import keep
 TILE = 500
 #: Log odds at which a pair is a match, and below which it is no longer followed.
 MATCH, FOLLOW = 0.0, -6.0
-#: Rounds of spreading, at most; it ends when no pair changes sides.
-ROUNDS = 4
+#: Rounds of spreading after which it is given up, with a warning; it ends when no pair changes sides.
+ROUNDS = 25
 
 
 def _pairs_of(a: Column) -> Column:
@@ -148,9 +150,11 @@ def evidence() -> Column:
 
 
 def spread(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pairs (l, r, src_l, src_r, doc_l, doc_r, s0) with the final log odds s, after similarity has spread until stable."""
+    """pairs (l, r, src_l, src_r, doc_l, doc_r, s0) with the final log odds s, after similarity has spread until no pair changes
+    sides. From round to round less of a change is taken over, so that pairs that swing come to rest; should some still turn
+    after `rounds`, a warning says how many."""
     base = keep(pairs.withColumn("s", F.col("s0")), "scored")
-    for _ in range(rounds):
+    for k in range(rounds):
         prob = 1 / (1 + F.exp(-F.col("s")))
         cur = base.withColumn("p", prob)
         likely = cur.filter("p >= 0.5")
@@ -170,10 +174,14 @@ def spread(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         x = x.withColumns({"bl": best("l", "src_r"), "br": best("r", "src_l")})
         lose = F.greatest(F.col("bl"), F.col("br")) - F.col("up")
         x = x.withColumn("new", F.col("up") - F.least(F.lit(0.7) * F.greatest(lose - 1.0, F.lit(0.0)), F.lit(8.0)))
+        x = x.withColumn("new", F.col("s") + (F.col("new") - F.col("s")) * min(1.0, 2.0 / (k + 1)))
         nxt = keep(x.select(*base.columns[:-1], F.col("new").alias("s"), ((F.col("new") >= MATCH) != (F.col("s") >= MATCH)).alias("turned")), "scored")
         base = nxt.drop("turned")
-        if not nxt.filter("turned").limit(1).count():
-            break
+        turned = nxt.filter("turned").count()
+        if not turned:
+            return base
+    if rounds:
+        warnings.warn(f"{turned} pairs still change sides after {rounds} rounds", stacklevel=2)
     return base
 
 

@@ -78,7 +78,7 @@ def people(spark: SparkSession, sf: str, *registers: str) -> DataFrame:
         if more:
             # a card names no father or husband, but it lists him: the head's husband is her relation and her children's
             him = t.filter(F.upper("relation_to_head") == "HUSBAND").groupBy(doc).agg(F.max(name).alias("him"))
-            t = t.join(him, doc, "left").withColumn(rel, F.when(F.upper("relation_to_head").isin("SELF", "SON", "DAUGHTER"), F.col("him"))).drop("him")
+            t = t.join(him.hint("merge"), doc, "left").withColumn(rel, F.when(F.upper("relation_to_head").isin("SELF", "SON", "DAUGHTER"), F.col("him"))).drop("him")
         if len(birth) == 1:
             bdate = birth_date(col(birth[0]))
             byear = F.year(bdate)
