@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -56,18 +57,42 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one of this machine, which only a
+    local session may use; a cluster that names none is refused."""
     set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_:
         return set_
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is unset: on {master} the tables that cut lineage need a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tallyloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir() or made
 
 
+#: Tables that `keep` has written, by application.
+_KEPT: dict[str, list[str]] = {}
+
+
 def keep(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    The files are small beside the rows they hold, so that the planner would take them for small tables: a join with one of
+    them is a merge join unless the other side is broadcast by name. `forget` deletes the tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that `keep` has written for this application and says how many: for when all results are written,
+    as results that are still to be computed may read them."""
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
