@@ -24,14 +24,37 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def block_pairs(df: DataFrame, id_: str, rules: list[tuple[list[str], Column | None]]) -> DataFrame:
+#: Records of a key that one tile pairs with as many others; says who does the work, not what comes out.
+TILE = 1000
+
+
+def block_pairs(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -> DataFrame:
     """(l, r) with l < r: pairs that agree on all keys of one rule at least and pass its residual (over the aliases x and y).
-    Null keys never match; a pair of several rules is given once."""
+    Null keys never match; a pair of several rules is given once.
+
+    A rule is (keys, residual) or (keys, residual, (column, reach)): then the values of a numeric column are at most `reach`
+    apart as well, which is joined by bands of that width, so that records far apart never meet. The records of a key are dealt
+    to buckets of about `tile`, and two buckets, or one with itself, are joined by one task: a key that a third of all records
+    have has no long task.
+    """
     parts = []
-    for keys, residual in rules:
-        x, y = df.alias("x"), df.alias("y")
-        on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col(f"x.{id_}") < F.col(f"y.{id_}")]
-        j = x.join(y, reduce(lambda a, b: a & b, on))
+    for keys, residual, *near in rules:
+        rows = df.dropna(subset=[*keys, *[c for c, _ in near]])
+        n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+        rows = rows.join(n, keys).withColumn("_t", F.ceil(F.col("_n") / tile).cast("int"))
+        rows = rows.withColumn("_b", F.pmod(F.xxhash64(id_), F.col("_t")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+        rows = rows.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_n", "_t", "_o")
+        x, y = rows, rows
+        on = [*keys, "_i", "_j"]
+        cond = F.lit(True)
+        for c, reach in near:
+            band = F.floor(F.col(c) / max(1, reach))
+            x, y = x.withColumn("_y", band), y.withColumn("_y", F.explode(F.sequence(band - 1, band + 1)))
+            on.append("_y")
+            cond = cond & (F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= reach)
+        x, y = x.alias("x"), y.alias("y")
+        cond = cond & (F.col(f"x.{id_}") < F.col(f"y.{id_}")) & ((F.col("x._i") == F.col("x._j")) | (F.col("x._b") != F.col("y._b")))
+        j = x.join(y, reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]) & cond)
         parts.append((j.filter(residual) if residual is not None else j).select(F.col(f"x.{id_}").alias("l"), F.col(f"y.{id_}").alias("r")))
     return reduce(DataFrame.unionByName, parts).distinct()
 

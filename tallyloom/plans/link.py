@@ -22,12 +22,29 @@ FIXED = {"gamma_same_document": ({1: 0.01 / 2**12, 0: 0.03}, {1: 0.01, 0: 1.0})}
 LEARNT = ["gamma_first_name", "gamma_surname", "gamma_relation_name", "gamma_middle", "gamma_sex", "gamma_birth", "gamma_place", "gamma_aadhaar_token", "gamma_account_token"]
 
 
+#: A token that stands beside more given names (skeletons) than this is no person's: a filler, an office's or a bank's.
+STRANGERS = 10
+
+
+def own_tokens(recs: DataFrame, columns: tuple[str, ...] = ("aadhaar_token", "account_token"), most: int = STRANGERS) -> DataFrame:
+    """recs with the tokens that strangers share set to null: those that stand beside more than `most` distinct skeletons of given
+    names. One person, a household or a borrowed number gives a few; a filler as many as there are names. Such tokens give no
+    block, no agreement and no part in training. Few tokens are of this kind, but their number isn't bounded, so they are joined
+    without a broadcast hint."""
+    out = recs
+    for c in columns:
+        # the skeletons of a token are counted in two steps, combined before each shuffle, however many rows a token has
+        bad = recs.filter(F.col(c).isNotNull() & F.col("skel_first").isNotNull()).groupBy(c, "skel_first").agg(F.lit(1).alias("one")).groupBy(c).agg(F.count("*").alias("names"))
+        bad = bad.filter(F.col("names") > most).select(c, F.lit(True).alias("_bad"))
+        out = out.join(bad, c, "left").withColumn(c, F.when(F.col("_bad").isNull(), F.col(c))).drop("_bad")
+    return out.select(*recs.columns)
+
+
 def blocking_rules() -> list:
-    gap = F.abs(F.col("x.birth_year") - F.col("y.birth_year"))
     return [
         (["aadhaar_token"], None), (["account_token"], None), (["skel_first", "skel_last", "panchayat_key"], None), (["skel_first", "skel_last", "birth_year"], None),
         (["skel_first", "rel_skel", "block"], None), (["skel_last", "rel_skel", "panchayat_key"], None), (["skel_first", "panchayat_key", "birth_year"], None),
-        (["skel_first", "panchayat_key"], gap <= 3), (["skel_last", "panchayat_key", "sex"], gap <= 2),
+        (["skel_first", "panchayat_key"], None, ("birth_year", 3)), (["skel_last", "panchayat_key", "sex"], None, ("birth_year", 2)),
     ]
 
 
@@ -204,7 +221,7 @@ def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = Fal
 def link(standard: DataFrame, code: str = "R", blinded: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """(pairs, clusters, model) of standard records; a record without partners is its own group, named by the smallest id.
     blinded: the records come from `blind`."""
-    recs = keep(standard.select(*COLS, *[f"{c}_clk" for c in NAMES if blinded]), "recs")
+    recs = keep(own_tokens(standard.select(*COLS, *[f"{c}_clk" for c in NAMES if blinded])), "recs")
     how = compare_blinded if blinded else compare
     scored = keep(how(block_pairs(recs, "unique_id", blocking_rules()), recs), "gammas")
     m, u, lam = train(scored, recs, how)

@@ -124,8 +124,7 @@ UNION ALL SELECT x.p_partkey, y.p_partkey FROM part x JOIN part y ON {_BLOCKS} A
 def blocking_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate pairs of two blocking rules, the second with a band."""
     p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    band = F.abs(F.col("x.p_size") - F.col("y.p_size")) <= 3
-    return block_pairs(p, "p_partkey", [(["p_name", "p_size"], None), (["p_brand", "p_type"], band)])
+    return block_pairs(p, "p_partkey", [(["p_name", "p_size"], None), (["p_brand", "p_type"], None, ("p_size", 3))])
 
 
 @query(f"""
