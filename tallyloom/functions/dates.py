@@ -28,13 +28,14 @@ def birth(dob: Column | None, age: Column | None, as_on: Column | None) -> Colum
     aged = null.cast("int")
     if age is not None:
         text = as_on.cast("string")
-        aged = F.coalesce(F.year(parse_day(text)), F.expr("try_cast(null as int)"), text.try_cast("int")) - age.cast("int")
+        aged = F.coalesce(F.year(parse_day(text)), text.try_cast("int")) - age.cast("int")
     return F.struct(
         F.when(exact, day).alias("birth_date"), F.coalesce(year, aged).cast("long").alias("birth_year"), exact.alias("birth_exact"),
         (year.isNull() & aged.isNotNull()).alias("age_only"),
     )
 
 
-def months_after(start: Column, end: Column, month: int = 30) -> Column:
-    """Whole months of `month` days between two dates."""
-    return F.floor(F.datediff(end, start) / month).cast("int")
+def full_years(birth_: Column, day: Column) -> Column:
+    """Full years of age on a day; null where either is null."""
+    md = lambda c: F.month(c) * 100 + F.dayofmonth(c)
+    return F.year(day) - F.year(birth_) - F.when(md(birth_) > md(day), 1).otherwise(0)

@@ -6,8 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BULLET = "•"
-# fixed values: digits that stay visible
-KEEP = {"aadhaar": 4, "bank_account": 4, "account": 4, "mobile": 2, "card_no": 3, "job_card_no": 3, "family_id": 3, "registration_no": 3, "pension_id": 3}
+# fixed values: identifiers with the digits that stay visible, which are always masked; names and document numbers, which are
+# masked until a record is opened
+IDS = {"aadhaar": 4, "bank_account": 4, "account": 4, "mobile": 2}
+NAMES = (
+    "applicant_name", "father_husband_name", "member_name", "head_of_family", "worker_name", "farmer_name", "deceased_name", "name", "father_guardian_name", "pensioner_name",
+    "beneficiary_name",
+)
+DOCUMENTS = ("card_no", "family_id", "job_card_no", "registration_no", "udid_no", "ppo_no", "beneficiary_id", "pension_id", "service_no")
+DOCUMENT_KEEP = 3
+NULLS = ("None", "nan", "NaN", "<NA>")
 
 
 def mask_name(c: Column) -> Column:
@@ -36,14 +44,16 @@ def mask_digits(c: Column, least: int = 6, keep: int = 3) -> Column:
 
 
 def mask_fields(fields: Column, open_: Column) -> Column:
-    """A map of field texts masked: numbers always, names and dates unless `open_`."""
+    """A map of field texts masked: identifiers always; names, document numbers and dates of birth unless `open_`. Texts that
+    stand for nothing become null; a document number without a digit and an empty date stay as they are; other fields pass."""
 
     def one(k: Column, v: Column) -> Column:
-        out = v
-        for name, keep in KEEP.items():
+        v = F.when(~v.isin(*NULLS), v)
+        closed = F.when(k.isin(*NAMES), mask_name(v)).when(k.isin(*DOCUMENTS) & v.rlike("\\d"), mask_number(v, DOCUMENT_KEEP)).when((k == "dob") & (v != ""), mask_date(v)).otherwise(v)
+        out = F.when(open_, v).otherwise(closed)
+        for name, keep in IDS.items():
             out = F.when(k == name, mask_number(v, keep)).otherwise(out)
-        named = F.when(k.contains("name") | k.contains("head_of"), mask_name(v)).when(k == "dob", mask_date(v)).otherwise(out)
-        return F.when(open_, out).otherwise(named)
+        return out
 
     return F.transform_values(fields, one)
 

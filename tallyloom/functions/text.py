@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 # ---- Fixed values: the folding rules and word lists that results depend on -----------------------------------------
 #: Replacements, applied one after the other in this order.
-FOLDS = "ksh>x chh>c ch>c sh>s ph>f th>t dh>d bh>b kh>k gh>g jh>j w>v v>b z>j q>k x>ks aa>a ee>i ii>i oo>u uu>u ou>o au>o ai>e y>i"
+FOLDS = [
+    ("ksh", "x"), ("chh", "c"), ("ch", "c"), ("sh", "s"), ("ph", "f"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("w", "v"), ("v", "b"), ("z", "j"),
+    ("q", "k"), ("x", "ks"), ("aa", "a"), ("ee", "i"), ("ii", "i"), ("oo", "u"), ("uu", "u"), ("ou", "o"), ("au", "o"), ("ai", "e"), ("y", "i"),
+]
 #: Consonants after which a stray h is dropped.
 STRAY_H_AFTER = "bcdfgjklmnpqrstvx"
 #: Words that carry no identity.
@@ -26,7 +29,7 @@ PREFIX = "mohd md mo mohammad mohammed muhammad mohamad mohmmad mohamed"
 MIDDLE = "singh sinh chandra chandr chander chand chandro datt dutt dat ram lal prasad nath rani bala"
 # --------------------------------------------------------------------------------------------------------------------
 
-_PAIRS = [tuple(p.split(">")) for p in FOLDS.split()]
+_PAIRS = FOLDS
 
 # Devanagari by its Unicode order: five rows of stops with their aspirates and nasals, then the rest of the consonants
 _PLAIN = {**dict(zip("कगङचजञटडणतदनपबम", "kgncjntdntdnpbm")), **dict(zip("यरलळवशषसह", "yrllvsssh")), "ऩ": "n", "ऱ": "r", "ऴ": "l"}
@@ -172,9 +175,10 @@ def place_key(c: Column) -> Column:
     return F.concat(fold_word(F.regexp_replace(r, "\\bward\\b|\\d+|\\s", "")), F.when(digits != "", F.concat(F.lit("w"), digits)).otherwise(""))
 
 
-def fold_first(c: Column) -> Column:
-    """The folding of the first word, whatever the word is."""
-    return fold_word(F.get(F.split(F.trim(to_roman(c)), "\\s+"), F.lit(0)))
+def titled(c: Column) -> Column:
+    """Every run of Latin letters with a capital first letter and small ones after it."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit("([a-z]+|[^a-z]+)"), 1)
+    return F.when(c.isNotNull(), F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), ""))
 
 
 # ---- string distance ----

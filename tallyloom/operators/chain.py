@@ -6,7 +6,6 @@ import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The hash before the first entry (a fixed value).
@@ -27,23 +26,27 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")), 256)
 
 
-def verify(log: DataFrame, seq: str, prev: str, own: str, parts: list[str]) -> DataFrame:
-    """(entries, broken_at, reason): the first entry whose link or digest fails, or nulls. Digests are recomputed in parallel;
-    links compare each stored hash with the one before, by range partitions whose borders are joined, so that no task sees
-    the whole log."""
-    x = log.withColumn("_ok", digest(F.col(prev), *[F.col(p) for p in parts]) == F.col(own))
-    # the entry before has the number before: an equality join instead of one global window
+def checked(log: DataFrame, seq: str, prev: str, own: str, parts: list[str], first: str = GENESIS) -> DataFrame:
+    """log with `reason`: null for a sound entry, 'entry altered' where the digest of `parts` isn't the stored one, 'chain broken'
+    where the stored link isn't the digest of the entry numbered one less (or, for the first entry of all, `first`). A missing
+    entry thus breaks the one after it. Digests are recomputed in parallel and links compared by an equality join on the number,
+    so that no task sees the whole log. An empty log gives no rows; null numbers link to nothing."""
     before = log.select((F.col(seq) + 1).alias(seq), F.col(own).alias("_before"))
-    x = x.join(before, seq, "left").withColumn("_link", F.col(prev) == F.coalesce("_before", F.lit(GENESIS)))
-    bad = F.when(~(F.col("_ok") & F.col("_link")), F.struct(F.col(seq).alias("at"), F.when(F.col("_link"), "entry altered").otherwise("chain broken").alias("why")))
+    start = log.agg(F.min(seq).alias("_start"))  # one row
+    x = log.join(before, seq, "left").join(F.broadcast(start))
+    link = F.coalesce(F.col(prev) == F.when(F.col(seq) == F.col("_start"), F.coalesce("_before", F.lit(first))).otherwise(F.col("_before")), F.lit(False))
+    sound = F.coalesce(digest(*[F.col(p) for p in parts]) == F.col(own), F.lit(False))
+    return x.withColumn("reason", F.when(~link, "chain broken").when(~sound, "entry altered")).drop("_before", "_start")
+
+
+def verify(log: DataFrame, seq: str, prev: str, own: str, parts: list[str]) -> DataFrame:
+    """(entries, broken_at, reason): the first entry whose link or digest fails, or nulls. A digest covers the stored link and
+    the parts."""
+    bad = F.when(F.col("reason").isNotNull(), F.struct(F.col(seq).alias("at"), F.col("reason").alias("why")))
+    x = checked(log, seq, prev, own, [prev, *parts])
     return x.agg(F.count("*").alias("entries"), F.min(bad).alias("b")).select("entries", F.col("b.at").alias("broken_at"), F.col("b.why").alias("reason"))
 
 
 def latest(log: DataFrame, object_: str, seq: str, value: str) -> DataFrame:
     """(object, value): the value of each object's newest entry."""
     return log.groupBy(object_).agg(F.max_by(value, seq).alias(value))
-
-
-def link_check(df: DataFrame, order: str, shard: Column) -> DataFrame:
-    """df with `prev`: the value of `order` of the row before within its shard; a windowed lag over bounded shards."""
-    return df.withColumn("prev", F.lag(order).over(W.partitionBy(shard).orderBy(order)))

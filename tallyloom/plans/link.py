@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.tokens import clk, dice, token
@@ -194,9 +193,9 @@ def strong(scored: DataFrame) -> DataFrame:
     return scored.filter((c("match_probability") >= ACCEPT) & sure & ~never)
 
 
-def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = False, blinded: bool = False) -> DataFrame:
+def households(scored: DataFrame, recs: DataFrame, blinded: bool = False) -> DataFrame:
     """(l, r, shared): members of two documents of different registers that share at least two likely members, alike in first
-    name, sex and birth band. A member that meets several takes none: counted over all document pairs, or per pair."""
+    name, sex and birth band. A member that meets several, over all document pairs, takes none."""
     r = recs.filter("doc_key IS NOT NULL").select("unique_id", "doc_key", "name_first", "skel_first", "sex", "birth_year", "aadhaar_token")
     e = scored.filter(F.col("match_probability") >= HOUSEHOLD_EDGE).select("l", "r", F.col("doc_key_l").alias("a"), F.col("doc_key_r").alias("b"))
     other = F.split_part("a", F.lit(":"), F.lit(1)) != F.split_part("b", F.lit(":"), F.lit(1))
@@ -211,16 +210,19 @@ def households(scored: DataFrame, recs: DataFrame, per_document_pair: bool = Fal
     else:
         x = x.withColumn("jw", F.when(~same, jaro_winkler("name_first_l", "name_first_r"))).filter(same | (F.col("jw") >= HOUSEHOLD_JW))
     x = keep(x.select(F.col("unique_id_l").alias("l"), F.col("unique_id_r").alias("r"), "shared", "d1", "d2"), "households")
-    if per_document_pair:
-        n = lambda k: F.count("*").over(W.partitionBy("d1", "d2", k))
-        x = x.withColumns({"nl": n("l"), "nr": n("r")}).filter("nl = 1 AND nr = 1")
-        return x.select("l", "r", "shared").dropDuplicates(["l", "r"])
     return once_on_both_sides(x, "l", "r").select("l", "r", "shared")
 
 
-def link(standard: DataFrame, code: str = "R", blinded: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+def model_document(model: dict) -> dict:
+    """The model as a document to be written: the prior and, per comparison, its levels with m, u and bits."""
+    m, u = model["m"], model["u"]
+    bits = lambda g, k: float(np.log2(m[g][k] / max(em.FLOOR, u[g].get(k, em.FLOOR))))
+    return {"prior": model["prior"], "prior_bits": model["prior_bits"], "comparisons": [{"comparison": g, "levels": [{"level": k, "m": m[g][k], "u": u[g].get(k, em.FLOOR), "bits": bits(g, k)} for k in sorted(m[g])]} for g in sorted(m)]}
+
+
+def link(standard: DataFrame, code: str = "R", blinded: bool = False, household: bool = True) -> tuple[DataFrame, DataFrame, dict]:
     """(pairs, clusters, model) of standard records; a record without partners is its own group, named by the smallest id.
-    blinded: the records come from `blind`."""
+    blinded: the records come from `blind`. household=False leaves the household pass out: the groups of the first pass."""
     recs = keep(own_tokens(standard.select(*COLS, *[f"{c}_clk" for c in NAMES if blinded])), "recs")
     how = compare_blinded if blinded else compare
     scored = keep(how(block_pairs(recs, "unique_id", blocking_rules()), recs), "gammas")
@@ -228,7 +230,7 @@ def link(standard: DataFrame, code: str = "R", blinded: bool = False) -> tuple[D
     pairs = keep(score(scored, recs, m, u, lam, 4 if blinded else 5), "pairs")
     more = households(pairs, recs, blinded=blinded)
     first = strong(pairs).select("l", "r")
-    edges = first.unionByName(more.select("l", "r"))
+    edges = first.unionByName(more.select("l", "r")) if household else first
     cc = components(edges, "l", "r")
     c = recs.select("unique_id", "record_id").join(cc.withColumnRenamed("vertex", "unique_id"), "unique_id", "left")
     clusters = c.select("unique_id", "record_id", F.concat(F.lit(code + "-"), F.coalesce("root", "unique_id").cast("string")).alias("cluster_id"))

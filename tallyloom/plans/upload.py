@@ -14,24 +14,27 @@ from tallyloom.session import TODAY, keep
 
 # fixed values: words that begin a header of each field, in the order in which fields take their headers
 SYNONYMS = {
-    "aadhaar": ("aadhaar", "aadhar", "uid"), "birth": ("dob", "birth", "age", "year"), "relation": ("father", "husband", "guardian", "mother"),
-    "place": ("village", "panchayat", "gram", "ward"), "block": ("block",), "name": ("name", "beneficiary", "applicant", "member"),
-}
-RELATION_WORDS = {w for w in SYNONYMS["relation"]} | {"spouse", "head"}
+    "name": ["name", "beneficiary", "applicant", "member", "worker", "farmer", "pensioner", "naam", "नाम"],
+    "rel_name": ["father", "husband", "guardian", "पिता", "पति"],
+    "dob": ["dob", "birth", "जन्म"],
+    "age": ["age", "आयु", "उम्र"],
+    "sex": ["gender", "sex", "लिंग"],
+    "aadhaar": ["aadhaar", "aadhar", "uid", "आधार"],
+    "panchayat": ["panchayat", "village", "gram", "ward", "ग्राम"],
+    "block": ["block", "ब्लॉक", "विकासखंड"],
+    "account": ["account", "bank", "खाता"],
+}
 
 
 def guess_mapping(headers: list[str]) -> dict[str, str]:
     """field -> header: the first header of which a whole word begins with one of the field's words. A header serves one field,
     and one with a relation's word is never the name."""
+    begins = lambda h, field: any(w.startswith(tuple(SYNONYMS[field])) for w in re.findall("[a-z\u0900-\u097f]+", h.lower()))
     out: dict[str, str] = {}
-    for field, words in SYNONYMS.items():
-        for h in headers:
-            parts = re.findall(r"[a-z]+", h.lower())
-            if h in out.values() or field == "name" and RELATION_WORDS & set(parts):
-                continue
-            if any(p.startswith(w) for p in parts for w in words):
-                out[field] = h
-                break
+    for field in SYNONYMS:
+        free = (h for h in headers if h not in out.values() and begins(h, field) and not (field == "name" and begins(h, "rel_name")))
+        if (h := next(free, None)) is not None:
+            out[field] = h
     return out
 
 
@@ -43,8 +46,8 @@ def match_upload(rows: DataFrame, standard: DataFrame, key: str, secret: bytes,
     """
     m = mapping or guess_mapping(rows.columns)
     col = lambda f: F.col(f"`{m[f]}`").cast("string") if f in m else F.lit(None).cast("string")
-    born = F.coalesce(F.year(parse_any(col("birth"))), F.regexp_extract(col("birth"), "(\\d{4})", 1).try_cast("int"), F.lit(TODAY.year) - F.trim(col("birth")).try_cast("int"))
-    x = rows.withColumns({"_n": F.monotonically_increasing_id(), "_t": token(F.regexp_replace(col("aadhaar"), "\\s", ""), secret), "_p": F.nullif(place_key(col("place")), F.lit("")), "_y": born})
+    born = F.coalesce(F.year(parse_any(col("dob"))), F.regexp_extract(col("dob"), "(\\d{4})", 1).try_cast("int"), F.lit(TODAY.year) - F.trim(col("age")).try_cast("int"))
+    x = rows.withColumns({"_n": F.monotonically_increasing_id(), "_t": token(F.regexp_replace(col("aadhaar"), "\\s", ""), secret), "_p": F.nullif(place_key(col("panchayat")), F.lit("")), "_y": born})
     # written once, so that both joins see one numbering
     x = keep(x.withColumn("_s", F.nullif(split_name(F.coalesce(col("name"), F.lit("")))["skel_first"], F.lit(""))), "upload")
     ids = standard.filter("aadhaar_token IS NOT NULL").groupBy(F.col("aadhaar_token").alias("_t")).agg(F.min(key).alias("_a"))

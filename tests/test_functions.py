@@ -50,6 +50,10 @@ def test_masks(spark):
     assert one(spark, masks.mask_digits, "card 123456789012 of 12345", "none", None) == ["card •••••••••012 of 12345", "none", None]
     m = one(spark, lambda v: masks.mask_fields(F.create_map(F.lit("aadhaar"), v, F.lit("member_name"), F.lit("Kamla")), F.lit(False)), "234567891234")[0]
     assert m == {"aadhaar": "••••••••1234", "member_name": "K••••"}
+    closed = F.create_map(*[x for k, v in {"udid_no": "UK-123456", "card_no": "12345", "dob": "12-03-1950", "name": "राम सिंह", "aadhaar": "234567891234", "status": "nan"}.items() for x in (F.lit(k), F.lit(v))])
+    got = [spark.range(1).select(masks.mask_fields(closed, F.lit(o)).alias("m")).first()["m"] for o in (False, True)]
+    assert got[0] == {"udid_no": "•••456", "card_no": "••345", "dob": "••-••-1950", "name": "र•• स•••", "aadhaar": "••••••••1234", "status": None}
+    assert got[1] == {"udid_no": "UK-123456", "card_no": "12345", "dob": "12-03-1950", "name": "राम सिंह", "aadhaar": "••••••••1234", "status": None}
     assert one(spark, lambda v: masks.suppress(v, 10), 0, 1, 9, 10, None, kind="int") == [0, None, None, 10, None]
 
 
