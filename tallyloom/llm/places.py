@@ -1,11 +1,12 @@
 """Problem 1: typed places mapped to a reference list, by token-level repair and soft TF-IDF.
 
-Each distinct token of the typed values (and each run of up to three tokens written apart) is joined to the vocabulary of
-the reference list by edit distance: a symmetric-delete index of the vocabulary finds all words within the bound, on the
+Each distinct token of the typed values (and each run of tokens, as many as an entry has and three at least, for names written
+apart) is joined to the vocabulary of the reference list, which are its names written together and, where names have several
+words, their words, by edit distance: a symmetric-delete index of the vocabulary finds all words within the bound, on the
 letters as typed and on their phonetic folding; a token that was cut short finds the words it begins. The repaired tokens
 are then combined per value: an entry's score is the cosine of soft TF-IDF, where a repaired token counts with its
-similarity, and tokens that repair to nothing count against the value by their rarity in the typed corpus (words that
-clerks add anywhere, such as 'village' or 'ward', are frequent and cost nothing). The record's block ranks entries of
+similarity and the weight of its rarity in the list, and tokens that repair to nothing count against the value by their rarity in
+the typed corpus (words that clerks add anywhere, such as 'village' or 'ward', are frequent and cost nothing). The record's block ranks entries of
 like score and decides between entries of one name. Values whose best entry scores too low mean no listed entry.
 
 The reference list is fixed and small (its size is checked); tasks hold its index and remember the tokens and values they
@@ -27,8 +28,9 @@ from tallyloom.functions.text import folded, osa, roman_text, to_roman
 
 #: The reference list may have so many entries; above, mapping is refused rather than broadcast.
 MOST_ENTRIES = 100_000
-#: Tokens in at least this share of the typed values are words that can stand beside any place.
-COMMON = 0.003
+#: Tokens in at least this share of the typed values are words that can stand beside any place; what a stray token costs grows
+#: with its rarity from there to RARE, below which it costs all.
+COMMON, RARE = 0.003, 0.001
 #: Least score of an entry; what the record's block adds or takes.
 LEAST, SAME_BLOCK, OTHER_BLOCK = 0.6, 0.05, -0.12
 #: Words a clerk writes for "no place given" repair to nothing anyway; these would be taken for short names (fixed values).
@@ -80,7 +82,9 @@ class Vocabulary:
 class PlaceMatcher:
     """Finds the entry of a typed value; one per task."""
 
-    def __init__(self, entries: list[tuple[int, str, str, str]], common: set[str], counts: dict[str, int] | None = None):
+    def __init__(self, entries: list[tuple[int, str, str, str]], shares: dict[str, float], counts: dict[str, int] | None = None):
+        common = {w for w, s in shares.items() if s >= COMMON}
+        self.shares = shares
         total = 1 + sum((counts or {}).values())
         #: of entries that score alike, the one that is written more often
         self.prior = {i: 0.05 * (counts or {}).get(name, 0) / total for i, name, _, _ in entries}
@@ -95,6 +99,15 @@ class PlaceMatcher:
         self.blocks = {b for b in self.block.values() if b}
         self.ends = sorted(self.blocks)
         self.weight = math.log(1 + len(entries))
+        # names of several words, word by word
+        self.parts = {i: ws for i, name, _, _ in entries if len(ws := set(_WORD.findall(roman_text(name)))) > 1}
+        self.longest = max([3, *(len(_WORD.findall(roman_text(name))) for _, name, _, _ in entries)])
+        self.of_part: dict[str, list[int]] = {}
+        for i, ws in self.parts.items():
+            for w in ws:
+                self.of_part.setdefault(w, []).append(i)
+        self.part = Vocabulary(set(self.of_part))
+        self.idf = {w: math.log(1 + len(entries) / len(ids)) for w, ids in self.of_part.items()}
         # a common spelling of an entry is no word that stands beside any place
         self.common = {w for w in common if max(self.repair(w).values(), default=0.0) < 0.75}
         self.glued = sorted({g for w in [*self.common, "block", *GLUED] if len(w) > 1 for g in (folded(w), folded(w) + "a") if len(g) > 1} - {"a"}, key=lambda g: (-len(g), g))
@@ -142,10 +155,14 @@ class PlaceMatcher:
         costs = []
         for w in words:
             f = folded(w)
-            costs.append(0.0 if w in self.common or f in self.blocks or len(w) < 3 else 0.75 * self.weight)
+            # 0 for a common token, growing with its inverse document frequency
+            rare = math.log(COMMON / max(self.shares.get(w, 0.0), RARE)) / math.log(COMMON / RARE)
+            costs.append(0.0 if w in self.common or f in self.blocks or len(w) < 3 else 0.75 * self.weight * min(1.0, max(0.0, rare)))
         total = sum(c * c for c in costs)
         out: dict[int, float] = {}
-        for n in (1, 2, 3):
+        for i, s in self.word_by_word(words, costs).items():
+            out[i] = s
+        for n in range(1, min(self.longest, len(words)) + 1):
             for a in range(len(words) - n + 1):
                 gram = "".join(words[a : a + n])
                 if n > 1 and all(w in self.common for w in words[a : a + n]):
@@ -163,19 +180,41 @@ class PlaceMatcher:
                         out[i] = s
         return out, named
 
+    def word_by_word(self, words: list[str], costs: list[float]) -> dict[int, float]:
+        """Entries of several words by the cosine of soft TF-IDF over repaired words, in any order."""
+        if not self.parts:
+            return {}
+        got: dict[int, dict[str, tuple[float, int]]] = {}
+        for k, w in enumerate(words):
+            for v, d in self.part.near(w).items():
+                sim = 1 - d / max(len(w), len(v))
+                for i in self.of_part[v]:
+                    if sim > got.setdefault(i, {}).get(v, (0.0, 0))[0]:
+                        got[i][v] = (sim, k)
+        total = sum(c * c for c in costs)
+        out = {}
+        for i, hits in got.items():
+            square = sum(self.idf[v] ** 2 for v in hits)
+            rest = max(0.0, total - sum(costs[k] ** 2 for k in {k for _, k in hits.values()}))
+            norm = math.sqrt(sum(self.idf[v] ** 2 for v in self.parts[i])) * math.sqrt(square + rest)
+            out[i] = sum(self.idf[v] ** 2 * sim for v, (sim, _) in hits.items()) / norm
+        return out
+
     def key_scores(self, key: str) -> tuple[dict[int, float], set[str]]:
         """The same for a folded key without blanks: words glued to the place are taken off at either end."""
         key = re.sub(r"(?:bard|ward|w)?w?\d+$", "", key)
-        seen, todo, named, out = {key}, [key], set(), {}
-        while todo and len(seen) < 200:
-            k = todo.pop(0)
-            cut = [(k[len(g) :], None) for g in self.glued if k.startswith(g)] + [(k[: -len(g)], None) for g in self.glued if k.endswith(g)]
-            cut += [(k[: -len(b)], b) for b in self.ends if k.endswith(b)] + [(k[: 1 - len(b)], b) for b in self.ends if b[0] == "h" and k.endswith(b[1:])]
-            for x, b in cut:
-                if len(x) >= 3 and x not in seen:
+        # what is left after words were taken off is a piece of the key: all such pieces, told by where they begin and end
+        named, out = set(), {}
+        seen, todo = {(0, len(key))}, [(0, len(key))]
+        while todo:
+            a, b = todo.pop()
+            cut = [(a + len(g), b) for g in self.glued if key.startswith(g, a, b)] + [(a, b - len(g)) for g in self.glued if key.endswith(g, a, b)]
+            cut += [(a, b - len(x)) for x in self.ends if key.endswith(x, a, b)] + [(a, b - len(x) + 1) for x in self.ends if x[0] == "h" and key.endswith(x[1:], a, b)]
+            for x in cut:
+                if x[1] - x[0] >= 3 and x not in seen:
                     seen.add(x)
                     todo.append(x)
-        for k in seen:
+        for k in {key[a:b] for a, b in seen}:
             r = self.tokens.get((k,))
             if r is None:
                 r = self.tokens[(k,)] = {} if k in NOTHING else self.repair_key(k)
@@ -211,11 +250,11 @@ def block_key(block: str | None) -> str:
     return folded("".join(_WORD.findall(roman_text(block)))) if block else ""
 
 
-def common_tokens(values: DataFrame, share: float = COMMON) -> set[str]:
-    """Tokens in at least `share` of the rows of `values` (column value): fewer than (tokens of a value) / share."""
+def token_shares(values: DataFrame, least: float = RARE) -> dict[str, float]:
+    """Tokens in at least `least` of the rows of `values` (column value) with their share: fewer than (tokens of a value) / least."""
     t = values.select(F.explode(F.array_distinct(F.split(to_roman(F.col("value")), "[^a-z]+"))).alias("t"))
     n = values.count()
-    return {r["t"] for r in t.filter("t <> ''").groupBy("t").count().filter(F.col("count") >= share * n).collect()}
+    return {r["t"]: r["count"] / n for r in t.filter("t <> ''").groupBy("t").count().filter(F.col("count") >= least * n).collect()}
 
 
 def map_places(typed: DataFrame, units: DataFrame) -> DataFrame:
@@ -236,10 +275,10 @@ def map_places(typed: DataFrame, units: DataFrame) -> DataFrame:
     exact = spark.createDataFrame([(n, False) for n in names] + [(k, True) for k in keys], "value string, is_key boolean")
     cases = typed.select("src", "record_id", "value", "block", "is_key").filter(F.col("value").rlike("[^\\s\\p{Z}]") & F.col("record_id").isNotNull())
     cases = cases.join(F.broadcast(exact), ["value", "is_key"], "left_anti")  # the list is bounded by MOST_ENTRIES
-    common = common_tokens(cases.filter("NOT is_key"))
+    shares = token_shares(cases.filter("NOT is_key"))
     # one row per entry at most
     exactly = typed.filter("NOT is_key").join(F.broadcast(exact.filter("NOT is_key").select("value")), "value").groupBy("value").count()
-    held = spark.sparkContext.broadcast((entries, common, {r["value"]: r["count"] for r in exactly.collect()}))
+    held = spark.sparkContext.broadcast((entries, shares, {r["value"]: r["count"] for r in exactly.collect()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = PlaceMatcher(*held.value)
@@ -261,7 +300,7 @@ def with_unit(df: DataFrame, value: str, block: str, units: DataFrame, out: str
     entries = [e for e in entries if e[0] is not None and e[1] is not None]
     typed = df.select(F.col(value).alias("value")).filter(F.col("value").rlike("[^\\s\\p{Z}]"))
     names = spark.createDataFrame([(n,) for n in sorted({e[1] for e in entries})], "value string")
-    held = spark.sparkContext.broadcast((entries, common_tokens(typed.join(F.broadcast(names), "value", "left_anti"))))
+    held = spark.sparkContext.broadcast((entries, token_shares(typed.join(F.broadcast(names), "value", "left_anti"))))
     df = df.drop(out)
     cols = df.columns
     v, b = cols.index(value), cols.index(block)

@@ -45,6 +45,18 @@ def test_with_unit_keeps_every_row(spark):
 
 
 def test_an_exact_name_of_another_block_still_wins_over_none():
-    m = PlaceMatcher([(i, n, k, b) for i, n, k, b in UNITS], set())
+    m = PlaceMatcher([(i, n, k, b) for i, n, k, b in UNITS], {})
     assert m("Kanas.", "Hapi", False) == 4
     assert F is not None
+
+
+def test_entries_of_several_words_in_any_order():
+    more = [*UNITS, (6, "Upper New Lake View Colony", "upernevlakevievkoloni", "Dogi"), (7, "Lower New Lake View Colony", "lovernevlakevievkoloni", "Dogi")]
+    m = PlaceMatcher(more, {})
+    assert m("Uper New Lake View Colony", None, False) == 6 and m("colony lake viev new lower", None, False) == 7
+    assert m("UpperNewLakeViewColony", None, False) == 6 and m("Some Thing Else Entirely Here", None, False) == -1
+
+
+def test_what_a_key_has_glued_on_comes_off_however_much_it_is():
+    m = PlaceMatcher(list(UNITS), {"gram": 0.2})
+    assert m("gramgramgramgramgramkipikalgramgram", None, True) == 1
