@@ -67,3 +67,9 @@ class GovernedSession:
     def refused(self, name: str) -> int:
         """Rows of a table that are out of scope."""
         return self._tables[name].count() - self.scoped(name).count()
+
+
+def catalogue(spark: SparkSession, roles: list[Role]) -> DataFrame:
+    """The roles as rows: what each may see, a scope of null meaning everything."""
+    rows = [(r.name, list(r.districts) if r.districts else None, list(r.blocks) if r.blocks else None, r.people, r.audit, r.aggregates, r.min_cell) for r in roles]
+    return spark.createDataFrame(rows, "name string, districts array<string>, blocks array<string>, people boolean, audit boolean, aggregates boolean, min_cell int")

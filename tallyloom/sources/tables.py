@@ -72,3 +72,8 @@ def with_ordinal(df: DataFrame, order: list, name: str = "unique_id") -> DataFra
         .withColumn(name, (F.col("_s") + F.col("_r") - 1).cast("long"))
         .drop("_p", "_r", "_s")
     )
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """An appended log, all its files; the order of its entries is their number's, not the files'."""
+    return spark.read.parquet(path)
