@@ -28,35 +28,67 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 TILE = 1000
 
 
-def block_pairs(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -> DataFrame:
-    """(l, r) with l < r: pairs that agree on all keys of one rule at least and pass its residual (over the aliases x and y).
-    Null keys never match; a pair of several rules is given once.
+def _implied(rule: tuple, by: tuple) -> bool:
+    """Whether every pair of `rule` is one of `by`: it agrees on all keys of `by`, and the column that `by` bounds is one of its own
+    keys or bounded at least as closely."""
+    (keys, _, *near), (more, residual, *bound) = rule, by
+    return residual is None and set(more) <= set(keys) and all(c in keys or any(c == d and r <= reach for d, r in near) for c, reach in bound)
+
+
+def _holds(rule: tuple) -> Column:
+    """Whether the aliases x and y are a pair of the rule; never null."""
+    keys, residual, *near = rule
+    c = reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
+    for n, reach in near:
+        c = c & (F.abs(F.col(f"x.{n}") - F.col(f"y.{n}")) <= reach)
+    return F.coalesce(c if residual is None else c & residual, F.lit(False))
+
+
+def block_joins(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -> list[DataFrame]:
+    """For each rule that no other one implies, its pairs of rows under the aliases x and y, x.id < y.id: those that agree on all
+    keys and pass the residual. A pair of several rules comes with the first of them only, which is seen from the two rows, so that
+    no pair is shuffled to be compared with others; rows aren't shuffled but once a rule and side. Null keys never match.
 
     A rule is (keys, residual) or (keys, residual, (column, reach)): then the values of a numeric column are at most `reach`
-    apart as well, which is joined by bands of that width, so that records far apart never meet. The records of a key are dealt
-    to buckets of about `tile`, and two buckets, or one with itself, are joined by one task: a key that a third of all records
-    have has no long task.
+    apart as well. A key of more than `tile` records (their table is broadcast: a row for `tile` records at most) is dealt to buckets
+    of about `tile`, two of which, or one with itself, are joined by one task, and by bands of that reach, so that records far
+    apart never meet: a key that a third of all records have has no long task.
     """
+    own = [r for i, r in enumerate(rules) if not any(_implied(r, o) and (j < i or not _implied(o, r)) for j, o in enumerate(rules) if j != i)]
     parts = []
-    for keys, residual, *near in rules:
+    for i, rule in enumerate(own):
+        keys, _, *near = rule
         rows = df.dropna(subset=[*keys, *[c for c, _ in near]])
-        n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-        rows = rows.join(n, keys).withColumn("_t", F.ceil(F.col("_n") / tile).cast("int"))
+        hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > tile)
+        rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_t", F.coalesce(F.ceil(F.col("_n") / tile), F.lit(1)).cast("int"))
         rows = rows.withColumn("_b", F.pmod(F.xxhash64(id_), F.col("_t")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
-        rows = rows.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).drop("_n", "_t", "_o")
+        rows = rows.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")}).select(*df.columns, "_b", "_i", "_j", "_t")
         x, y = rows, rows
         on = [*keys, "_i", "_j"]
-        cond = F.lit(True)
         for c, reach in near:
             band = F.floor(F.col(c) / max(1, reach))
-            x, y = x.withColumn("_y", band), y.withColumn("_y", F.explode(F.sequence(band - 1, band + 1)))
+            few = F.col("_t") == 1
+            x = x.withColumn("_y", F.when(few, F.lit(0).cast("long")).otherwise(band))
+            y = y.withColumn("_y", F.explode(F.when(few, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(band - 1, band + 1))))
             on.append("_y")
-            cond = cond & (F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= reach)
         x, y = x.alias("x"), y.alias("y")
-        cond = cond & (F.col(f"x.{id_}") < F.col(f"y.{id_}")) & ((F.col("x._i") == F.col("x._j")) | (F.col("x._b") != F.col("y._b")))
+        cond = (F.col(f"x.{id_}") < F.col(f"y.{id_}")) & ((F.col("x._i") == F.col("x._j")) | (F.col("x._b") != F.col("y._b")))
         j = x.join(y, reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]) & cond)
-        parts.append((j.filter(residual) if residual is not None else j).select(F.col(f"x.{id_}").alias("l"), F.col(f"y.{id_}").alias("r")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+        parts.append(j.filter(reduce(lambda a, r: a & ~_holds(r), own[:i], _holds(rule))))
+    return parts
+
+
+def block_rows(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -> list[DataFrame]:
+    """The pairs of block_joins as rows: l and r, the ids, and every other column of both, ending in _l and _r."""
+    side = lambda a, s: [F.col(f"{a}.{c}").alias(c + s) for c in df.columns if c != id_]
+    return [j.select(F.col(f"x.{id_}").alias("l"), F.col(f"y.{id_}").alias("r"), *side("x", "_l"), *side("y", "_r")) for j in block_joins(df, id_, rules, tile)]
+
+
+def block_pairs(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -> DataFrame:
+    """(l, r) with l < r: pairs that agree on all keys of one rule at least and pass its residual (over the aliases x and y), each
+    once; see block_joins. Only where an id has several rows are the pairs shuffled to make them distinct."""
+    out = reduce(DataFrame.unionByName, [j.select(F.col(f"x.{id_}").alias("l"), F.col(f"y.{id_}").alias("r")) for j in block_joins(df, id_, rules, tile)])
+    return out if df.groupBy(id_).count().filter("count > 1").isEmpty() else out.distinct()
 
 
 def levels(null: Column, *conditions: Column) -> Column:
