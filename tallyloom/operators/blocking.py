@@ -124,12 +124,27 @@ def pair_gammas(left: str = "_l", right: str = "_r", jw: float = 0.88) -> dict[s
 def near_misses(left: DataFrame, right: DataFrame, id_: str, keys: list[str], exact: str, text: str, year: str, years: int, jw: float = 0.88) -> DataFrame:
     """The ids of left that have a near miss in right: equal keys and another id, and either the same `exact` with years at
     most `years` apart (unknown years pass), or the same first letter, years at most 2 apart and a similarity of at least jw.
-    Two joins with equality keys; the similarity is computed last."""
-    x, y = left.alias("x"), right.alias("y")
-    base = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]) & (F.col(f"x.{id_}") != F.col(f"y.{id_}"))
-    gap = F.coalesce(F.abs(F.col(f"x.{year}") - F.col(f"y.{year}")), F.lit(0))
-    one = x.join(y, base & (F.col(f"x.{exact}") == F.col(f"y.{exact}")) & (gap <= years), "left_semi").select(id_)
-    letter = F.substring(F.col(f"x.{exact}"), 1, 1) == F.substring(F.col(f"y.{exact}"), 1, 1)
-    near = x.join(y, base & letter & (F.abs(F.col(f"x.{year}") - F.col(f"y.{year}")) <= 2)).select(F.col(f"x.{id_}").alias(id_), F.col(f"x.{text}").alias("a"), F.col(f"y.{text}").alias("b"))
-    two = near.distinct().filter(jaro_winkler("a", "b") >= jw).select(id_)
-    return one.unionByName(two).distinct()
+
+    Distinct values are compared, not rows: each side is first reduced to its values, those of right with their least and largest
+    id. Another id than its own is there unless both are its own. The similarity is computed last, the second way by bands of years."""
+    letter = F.substring(exact, 1, 1)
+    values = lambda df, *cols: df.select(*dict.fromkeys([*keys, exact, text, year, id_]), letter.alias("_c")).groupBy(*keys, *cols)
+    ends = lambda g: g.agg(F.min(id_).alias("_lo"), F.max(id_).alias("_hi"))
+    same = lambda cols: reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in cols])
+    gap = F.abs(F.col(f"x.{year}") - F.col(f"y.{year}"))
+
+    def ids(pairs: DataFrame, by: list[str]) -> DataFrame:
+        """The ids of left whose values `by` meet another id."""
+        met = pairs.groupBy(*[F.col(f"x.{c}").alias(f"_{i}") for i, c in enumerate(by)]).agg(F.min("y._lo").alias("_lo"), F.max("y._hi").alias("_hi"))
+        on = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)])
+        return left.withColumn("_c", letter).join(met, on).filter((F.col(id_) != F.col("_lo")) | (F.col(id_) != F.col("_hi"))).select(id_)
+
+    by = [*keys, exact, year]
+    x, y = values(left, exact, year).agg(F.lit(1)).alias("x"), ends(values(right, exact, year)).alias("y")
+    one = ids(x.join(y, same([*keys, exact]) & (F.coalesce(gap, F.lit(0)) <= years)), by)
+    by = [*keys, "_c", year, text]
+    band = F.floor(F.col(year) / 2)
+    x = values(left, "_c", year, text).agg(F.lit(1)).withColumn("_y", band).alias("x")
+    y = ends(values(right, "_c", year, text)).withColumn("_y", F.explode(F.sequence(band - 1, band + 1))).alias("y")
+    near = x.join(y, same([*keys, "_c", "_y"]) & (gap <= 2)).filter(jaro_winkler(F.col(f"x.{text}"), F.col(f"y.{text}")) >= jw)
+    return one.unionByName(ids(near, by)).distinct()
