@@ -2,6 +2,7 @@ import random
 
 from tallyloom.functions.text import jaro_winkler
 from tallyloom.operators.blocking import near_misses
+from tallyloom.plans.queries import QUERIES
 
 
 def below_python(df):
@@ -28,3 +29,9 @@ def test_near_misses_compare_values_not_rows(spark):
     below = below_python(out)
     # both sides of the join are reduced to their values
     assert "Aggregate" in below.split("Join", 1)[1]
+
+
+def test_near_miss_anti_compares_values_and_is_the_rest(spark, folder):
+    anti, semi = QUERIES["near_miss_anti"](spark, folder), QUERIES["near_miss_semi"](spark, folder)
+    assert "Aggregate" in below_python(anti).split("Join", 1)[1]
+    assert anti.intersect(semi).count() == 0 and anti.count() + semi.count() == spark.read.parquet(f"{folder}/part.parquet").count()
