@@ -9,8 +9,7 @@ from tallyloom.functions import masks
 from tallyloom.functions.text import FOLDS, fold_word, place_key, skeleton, split_name
 from tallyloom.functions.tokens import clk, dice, hmac_sha256
 from tallyloom.operators import aggregates as A
-from tallyloom.operators import em
-from tallyloom.operators.blocking import block_pairs, jaro_winkler, levels, near_misses
+from tallyloom.operators.blocking import block_pairs, block_rows, jaro_winkler, levels, near_misses
 from tallyloom.operators.chain import GENESIS, checked, digest
 from tallyloom.operators.components import components
 from tallyloom.operators.govern import GovernedSession, Role
@@ -133,16 +132,16 @@ g AS (SELECT CASE WHEN a IS NULL OR b IS NULL THEN -1 WHEN a = b THEN 3 WHEN jar
 SELECT gamma_name, gamma_size, gamma_price, count(*) AS n FROM g GROUP BY 1, 2, 3""")
 def gamma_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a block counted by their vector of comparison levels."""
-    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    x, y = p.alias("x"), p.alias("y")
-    c = F.col
-    j = x.join(y, (c("x.p_brand") == c("y.p_brand")) & (c("x.p_type") == c("y.p_type")) & (F.abs(c("x.p_size") - c("y.p_size")) <= 3) & (c("x.p_partkey") < c("y.p_partkey")))
-    j = j.select(c("x.p_name").alias("a"), c("y.p_name").alias("b"), c("x.p_size").alias("sa"), c("y.p_size").alias("sb"), c("x.p_retailprice").alias("ra"), c("y.p_retailprice").alias("rb"))
+    p, c, no = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), F.col, F.lit(False)
+    (j,) = block_rows(p, "p_partkey", [(["p_brand", "p_type"], None, ("p_size", 3))])
+    size = levels(no, c("p_size_l") == c("p_size_r"), F.abs(c("p_size_l") - c("p_size_r")) <= 1).alias("gamma_size")
+    price = levels(no, F.abs(c("p_retailprice_l") - c("p_retailprice_r")) < 50).alias("gamma_price")
+    # counted by their names first, so that each two names are compared once, not once a pair
+    j = j.groupBy(c("p_name_l").alias("a"), c("p_name_r").alias("b"), size, price).agg(F.count("*").alias("pairs"))
     j = j.withColumn("jw", F.when(c("a") != c("b"), jaro_winkler("a", "b")))
     name = levels(c("a").isNull() | c("b").isNull(), c("a") == c("b"), c("jw") >= 0.88, F.substring("a", 1, 1) == F.substring("b", 1, 1))
-    no = F.lit(False)
-    g = j.select(name.alias("gamma_name"), levels(no, c("sa") == c("sb"), F.abs(c("sa") - c("sb")) <= 1).alias("gamma_size"), levels(no, F.abs(c("ra") - c("rb")) < 50).alias("gamma_price"))
-    return em.gamma_counts(g, ["gamma_name", "gamma_size", "gamma_price"]).select(*[F.col(k).cast("int").alias(k) for k in ("gamma_name", "gamma_size", "gamma_price")], "n")
+    g = j.groupBy(name.alias("gamma_name"), "gamma_size", "gamma_price").agg(F.sum("pairs").alias("n"))
+    return g.select(*[F.col(k).cast("int").alias(k) for k in ("gamma_name", "gamma_size", "gamma_price")], "n")
 
 
 _NEAR = """x.p_brand = y.p_brand AND x.p_partkey <> y.p_partkey AND ((x.p_name = y.p_name AND coalesce(abs(x.p_size - y.p_size), 0) <= 5)

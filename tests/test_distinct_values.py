@@ -35,3 +35,7 @@ def test_near_miss_anti_compares_values_and_is_the_rest(spark, folder):
     anti, semi = QUERIES["near_miss_anti"](spark, folder), QUERIES["near_miss_semi"](spark, folder)
     assert "Aggregate" in below_python(anti).split("Join", 1)[1]
     assert anti.intersect(semi).count() == 0 and anti.count() + semi.count() == spark.read.parquet(f"{folder}/part.parquet").count()
+
+
+def test_gamma_vectors_compare_two_names_once(spark, folder):
+    assert "Aggregate" in below_python(QUERIES["gamma_vectors"](spark, folder)).split("Join")[0]
