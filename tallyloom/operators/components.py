@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import keep
+from tallyloom.session import keep, release
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(vertex, root) of all vertices of non-loop edges: root is the smallest vertex of the component.
 
     Large-star and small-star alternate, each a minimum per vertex that is combined before its shuffle, until nothing
-    changes. Each round is written to the shared folder. Null ends link nothing.
+    changes. Each round is written to the shared folder, where the one before is deleted. Null ends link nothing.
     """
     e = keep(forest(edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).filter("a <> b")).distinct(), "cc")
     start = e
@@ -61,8 +61,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     sign = lambda x: x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
     before = sign(e)
     while True:
-        e = keep(star(star(e, True), False), "cc")
+        last, e = e, keep(star(star(e, True), False), "cc")
         now = sign(e)
+        if last is not start:
+            release(last)
         if now == before:
             break
         before = now

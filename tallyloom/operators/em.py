@@ -14,7 +14,8 @@ FLOOR = 1e-6
 
 
 def gamma_counts(pairs: DataFrame, gammas: list[str]) -> DataFrame:
-    return pairs.groupBy(*gammas).agg(F.count("*").alias("n"))
+    """Pairs by vector; a column n, where there is one, says how many pairs a row stands for."""
+    return pairs.groupBy(*gammas).agg((F.sum("n") if "n" in pairs.columns else F.count("*")).alias("n"))
 
 
 def sample_of(df: DataFrame, id_: str, rows: int, seed: int) -> DataFrame:
@@ -76,13 +77,18 @@ def average(models: list[dict[str, dict[int, float]]]) -> dict[str, dict[int, fl
     return out
 
 
-def weight(gammas: list[str], m: dict, u: dict, lam: float) -> Column:
-    """log2 prior odds plus log2(m/u) of each level, as one expression; null levels add nothing."""
+def bits(gammas: list[str], m: dict, u: dict) -> dict[str, dict[int, float]]:
+    """log2(m/u) of each level of each comparison."""
+    return {g: {k: float(np.log2(m[g][k] / max(FLOOR, u[g].get(k, FLOOR)))) for k in m.get(g, {})} for g in gammas}
+
+
+def weight(table: dict[str, dict[int, float]], lam: float) -> Column:
+    """log2 prior odds plus the bits of each level; null levels add nothing."""
     out = F.lit(float(np.log2(lam / (1 - lam))))
-    for g in gammas:
+    for g, levels in table.items():
         c = F.lit(0.0)
-        for k in m.get(g, {}):
-            c = F.when(F.col(g) == k, float(np.log2(m[g][k] / max(FLOOR, u[g].get(k, FLOOR))))).otherwise(c)
+        for k, v in levels.items():
+            c = F.when(F.col(g) == k, v).otherwise(c)
         out = out + c
     return out
 

@@ -13,7 +13,7 @@ from tallyloom.operators.blocking import block_pairs, block_rows, jaro_winkler,
 from tallyloom.operators.chain import GENESIS, checked, digest
 from tallyloom.operators.components import components
 from tallyloom.operators.govern import GovernedSession, Role
-from tallyloom.plans.link import blind, link
+from tallyloom.plans.link import COLS, encode, link
 from tallyloom.plans.standardise import load_all
 from tallyloom.session import TODAY, keep
 from tallyloom.sources.tables import table, with_ordinal
@@ -343,20 +343,23 @@ def bloom_dice(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b"), F.round(dice(F.col("x.b"), F.col("y.b")), 4).alias("dice")).distinct()
 
 
+def delivered_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of standard as first delivered, with the columns that the linkage reads."""
+    s = table(spark, sf, "standard", *COLS, "loaded_at")
+    return A.first_in_order(s, ["record_id"], [F.col("loaded_at"), F.col("unique_id")], [c for c in COLS if c != "record_id"])
+
+
 @query()
 def linkage(spark: SparkSession, sf: str) -> DataFrame:
     """The whole linkage of standard records: groups by blocking, levels, model, strong edges, households and components."""
-    s = table(spark, sf, "standard")
-    one = A.first_in_order(s, ["record_id"], [F.col("loaded_at"), F.col("unique_id")], [c for c in s.columns if c != "record_id"]).select(*s.columns)
-    return link(one)[1]
+    return link(delivered_once(spark, sf))[1]
 
 
 @query()
 def linkage_blinded(spark: SparkSession, sf: str) -> DataFrame:
     """The same over Bloom-filter encodings of names; no clear name enters it."""
-    s = table(spark, sf, "standard")
-    one = A.first_in_order(s, ["record_id"], [F.col("loaded_at"), F.col("unique_id")], [c for c in s.columns if c != "record_id"]).select(*s.columns)
-    return link(blind(one, DEMO_KEY), "B", blinded=True)[1]
+    one, codes = encode(keep(delivered_once(spark, sf), "delivered"), DEMO_KEY)
+    return link(one, "B", codes)[1]
 
 
 @query("""

@@ -378,10 +378,9 @@ def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
 def linkage_first_pass(spark: SparkSession, sf: str) -> DataFrame:
     """The groups of the first pass of the linkage, before households are looked at."""
     from tallyloom.plans.link import link
+    from tallyloom.plans.relational import delivered_once
 
-    s = table(spark, sf, "standard")
-    one = A.first_in_order(s, ["record_id"], [F.col("loaded_at"), F.col("unique_id")], [c for c in s.columns if c != "record_id"]).select(*s.columns)
-    return link(one, "P", household=False)[1]
+    return link(delivered_once(spark, sf), "P", household=False)[1]
 
 
 @query()
