@@ -52,7 +52,8 @@ def block_joins(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -
     A rule is (keys, residual) or (keys, residual, (column, reach)): then the values of a numeric column are at most `reach`
     apart as well. A key of more than `tile` records (their table is broadcast: a row for `tile` records at most) is dealt to buckets
     of about `tile`, two of which, or one with itself, are joined by one task, and by bands of that reach, so that records far
-    apart never meet: a key that a third of all records have has no long task.
+    apart never meet: a key that a third of all records have has no long task. The two sides are joined by a merge join: dealt out,
+    a side is many times what the planner takes it for by the size of its files, and isn't to be built in the driver.
     """
     own = [r for i, r in enumerate(rules) if not any(_implied(r, o) and (j < i or not _implied(o, r)) for j, o in enumerate(rules) if j != i)]
     parts = []
@@ -73,7 +74,7 @@ def block_joins(df: DataFrame, id_: str, rules: list[tuple], tile: int = TILE) -
             on.append("_y")
         x, y = x.alias("x"), y.alias("y")
         cond = (F.col(f"x.{id_}") < F.col(f"y.{id_}")) & ((F.col("x._i") == F.col("x._j")) | (F.col("x._b") != F.col("y._b")))
-        j = x.join(y, reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]) & cond)
+        j = x.join(y.hint("merge"), reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in on]) & cond)
         parts.append(j.filter(reduce(lambda a, r: a & ~_holds(r), own[:i], _holds(rule))))
     return parts
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.operators.blocking import block_pairs, block_rows
+from tallyloom.plans.queries import QUERIES
 
 
 def plan(df):
@@ -29,3 +30,11 @@ def test_pairs_of_several_rules_come_once_and_are_not_shuffled(spark):
 def test_pairs_of_ids_with_several_rows_come_once(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "a")], "id long, k string")
     assert [tuple(r) for r in block_pairs(df, "id", [(["k"], None)]).collect()] == [(1, 2)]
+
+
+def test_a_side_dealt_out_is_not_broadcast(spark, folder):
+    # tables of a few kilobytes, far below the threshold for broadcasts
+    for name, joins in (("blocking_pairs", 2),):
+        got = plan(QUERIES[name](spark, folder))
+        # the tables of hot keys alone are broadcast, one for each side
+        assert got.count("SortMergeJoin") == joins and got.count("BroadcastHashJoin") == 2 * joins
