@@ -34,7 +34,7 @@ def test_pairs_of_ids_with_several_rows_come_once(spark):
 
 def test_a_side_dealt_out_is_not_broadcast(spark, folder):
     # tables of a few kilobytes, far below the threshold for broadcasts
-    for name, joins in (("blocking_pairs", 2),):
+    for name, joins in (("blocking_pairs", 2), ("gamma_vectors", 1)):
         got = plan(QUERIES[name](spark, folder))
         # the tables of hot keys alone are broadcast, one for each side
         assert got.count("SortMergeJoin") == joins and got.count("BroadcastHashJoin") == 2 * joins
